@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from trackwise.session import table
 
-from . import quality
+from . import decontaminate, mixing, near_dedup, quality
+
+
+def op3_setsketch_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_spaced_seed_leaks(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_quality_divergence(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op10_splitting_tree_mix(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
