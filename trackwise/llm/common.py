@@ -28,10 +28,11 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; ``drop`` removes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.paths, self.made = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}, 0
 
     def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        self.made += 1
+        path = f"{self.root}/{name}-{self.made}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(path)
         self.paths[name] = path
