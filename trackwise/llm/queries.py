@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from trackwise.session import table
 
-from . import decontaminate, mixing, near_dedup, quality
+from . import decontaminate, mixing, near_dedup, pii, quality
+
+
+def op1_keyed_surrogates(spark, sf_dir):
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
 
 
 def op3_setsketch_dedup(spark, sf_dir):
