@@ -59,13 +59,17 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES):
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+#: Everything in ASCII but letters and digits separates words here.
+NOT_ALNUM = np.array([not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128) for c in range(256)])
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of rows, in order, and for each row where its words begin (one more at the end)."""
     lo = int(offsets[0])
     body = data[lo : int(offsets[-1])]
     at = offsets - lo
     n = len(body)
-    word = ~_BLANK[body]
+    word = ~blank[body]
     start = np.empty(n, dtype=bool)
     if n:
         start[0] = word[0]
