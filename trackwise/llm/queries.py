@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from trackwise.session import table
 
-from . import decontaminate, mixing, near_dedup, pii, quality
+from . import decontaminate, html_text, language_id, licenses, mixing, near_dedup, pii, quality, toxicity
 
 
 def op1_keyed_surrogates(spark, sf_dir):
@@ -19,10 +19,28 @@ def op4_spaced_seed_leaks(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_tag_path_text(spark, sf_dir):
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_license_dice(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity_cnn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_quality_divergence(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op9_ppm_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op10_splitting_tree_mix(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
