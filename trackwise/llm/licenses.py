@@ -74,7 +74,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", dice: float =
             fits = F.size(x.b).between(int(len(b) * dice / (2 - dice) + 0.999999), int(len(b) * (2 - dice) / dice))
             both = F.size(F.array_intersect(x.b, F.array(*map(F.lit, b))))
             out.append(F.when(fits, F.struct(F.lit(name).alias("license"), (2.0 * both / (F.size(x.b) + len(b))).alias("dice"), x.u.alias("unit"))))
-        return F.filter(F.array(*out), lambda m: m.dice >= dice)
+        near = F.filter(F.array(*out), lambda m: m.dice >= dice)
+        # A unit is the licence that it is nearest to.
+        return F.filter(near, lambda m: m.dice == F.array_max(F.transform(near, lambda o: o.dice)))
 
     df = let(df, "u", hits=F.flatten(F.transform("u__units", against)))
     hits = df.select("doc_id", F.inline("u__hits"))

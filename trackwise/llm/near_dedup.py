@@ -115,23 +115,31 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _cross(table: pa.Table) -> pa.Table:
-    """One block pair of a bucket: likely pairs across components. side 0 and 1 are the two blocks, 2 is both."""
-    rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
-    regs = _matrix(table.column("regs"))
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    out: list = []
-    for i in left:
-        j = right[(comp[right] != comp[i]) & ((side[right] != side[i]) | (rep[right] > rep[i]))]
-        if not len(j):
-            continue
-        x, y = regs[i][None, :], regs[j]
-        more, less = (x > y).sum(1), (x < y).sum(1)
-        near = np.flatnonzero(M - more - less >= 0.4 * M)
-        if len(near):
+def _cross(most: int):
+    """For one block pair of a bucket: each member's likeliest ``most`` partners in other components; cut tells whether
+    there were more. side 0 and 1 are the two blocks, 2 is both."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
+        regs = _matrix(table.column("regs"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out: list = []
+        for i in left:
+            j = right[(comp[right] != comp[i]) & ((side[right] != side[i]) | (rep[right] > rep[i]))]
+            if not len(j):
+                continue
+            x, y = regs[i][None, :], regs[j]
+            more, less = (x > y).sum(1), (x < y).sum(1)
+            near = np.flatnonzero(M - more - less >= 0.4 * M)
+            if not len(near):
+                continue
             est = likelihood(more[near], less[near], np.full(len(near), n[i]), n[j[near]])
-            out += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in j[near[est >= LEAST]]]
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+            good = np.flatnonzero(est >= LEAST)
+            best = good[np.lexsort((rep[j[near[good]]], -est[good]))][:most]
+            out += [(min(rep[i], rep[k]), max(rep[i], rep[k]), len(good) > most) for k in j[near[best]]]
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "cut": pa.array([x[2] for x in out], pa.bool_())})
+
+    return run
 
 
 def components(nodes_edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -171,19 +179,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stars = member.where(F.col("rep") != F.col("center")).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     links = scratch.put(_verified(stars, reps, lean, True), "links")
     label = components(links, scratch)
-    # What the stars left in different components of one bucket: all such pairs, by registers, in blocks.
-    wide = member.where(F.col("members") > 2).join(label, member.rep == label.node, "left").select("bucket", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
-    mixed = wide.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-    odd = wide.join(mixed, "bucket").join(reps.select("rep", "n", "regs"), "rep")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    odd = odd.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    odd = odd.select("bucket", "rep", "comp", "n", "regs", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    odd = odd.select("bucket", "rep", "comp", "n", "regs", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    more = odd.groupBy("bucket", "lo", "hi").applyInArrow(_cross, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.put(_verified(scratch.put(more, "crossed"), reps, lean, False), "more")
-    if more.limit(1).count():
-        label = components(links.union(more), scratch)
-    scratch.drop("member", "crossed", "more", "links")
+    # What the stars left in different components of one bucket: compared by registers, in blocks. Each member first
+    # tries its few likeliest partners, which joins most of what belongs together; as long as some had more to try and are
+    # still apart, the number grows, so in the end every likely pair across components has been tried.
+    tried, most = [stars], 4
+    while True:
+        wide = member.where(F.col("members") > 2).join(label, member.rep == label.node, "left").select("bucket", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
+        mixed = wide.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
+        odd = wide.join(mixed, "bucket").join(reps.select("rep", "n", "regs"), "rep")
+        odd = odd.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        odd = odd.select("bucket", "rep", "comp", "n", "regs", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        odd = odd.select("bucket", "rep", "comp", "n", "regs", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+        crossed = scratch.put(odd.groupBy("bucket", "lo", "hi").applyInArrow(_cross(most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")), f"crossed{most}")
+        new = crossed.select("a", "b")
+        for old in tried:
+            new = new.join(old, ["a", "b"], "left_anti")
+        more = scratch.put(_verified(new, reps, lean, False), f"more{most}")
+        tried.append(crossed.select("a", "b"))
+        if more.limit(1).count():
+            links = links.union(more)
+            label = components(links, scratch)
+        if not crossed.where("cut").limit(1).count():
+            break
+        most *= 16
+    scratch.drop("member")
     heads = reps.select("rep", "d0", "d1").join(label, reps.rep == label.node, "left").select("d0", "d1", F.coalesce("comp", "rep").alias("comp"), F.lit(True).alias("real"))
     out = sketch.drop("regs").join(heads, ["d0", "d1"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
@@ -198,8 +217,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, lean: DataFrame, screen: bool)
         pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long")
     x = lean.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).where(F.col("a").isNotNull())
     y = lean.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).where(F.col("b").isNotNull())
-    need = pairs
-    return need.join(y, "b").join(x, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct()
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
