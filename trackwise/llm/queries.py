@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from trackwise.session import table
 
-from . import decontaminate, html_text, language_id, licenses, mixing, near_dedup, pii, quality, toxicity
+from . import decontaminate, html_text, language_id, licenses, mixing, near_dedup, pii, quality, substring_dedup, toxicity
 
 
 def op1_keyed_surrogates(spark, sf_dir):
     return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
 
 
+def op2_lpf_repeats(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 def op3_setsketch_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
