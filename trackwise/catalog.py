@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from trackwise.plans import queries_domain, queries_vectors
+
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Prompts of all four kinds: scan, parse, rules, longest-prefix and dictionary joins, union."""
+    return queries_domain.q03_prompt_union(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {**queries_domain.Q, **queries_vectors.Q}
 
 
 def oracle_sql():
-    return {}
+    return {**queries_domain.SQL, **queries_vectors.SQL}
