@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -280,8 +281,6 @@ def hdbscan(df: DataFrame, key: str, vec: str, min_cluster: int, min_samples: in
 
 def block_masks(df: DataFrame, key: str, height: int, width: int, n_masked: int, min_block: int = 16, max_block: int | None = None, seed: int = 0) -> DataFrame:
     """key and mask (height * width of 0 and 1, n_masked ones): random blocks, then single patches to the exact number."""
-    import pandas as pd
-
     most = max_block or n_masked
 
     @F.pandas_udf("array<int>")
