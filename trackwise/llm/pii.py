@@ -34,18 +34,18 @@ _GIVEN = "|".join(n for v in NAMES.values() for n in v)
 _TITLE = "|".join(t for v in TITLES.values() for t in v)
 #: In order of precedence where several start at one place.
 KINDS = {
-    "email": r"[\p{L}\p{N}._%+\-]+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
-    "name": rf"(?:(?:{_TITLE})\.?\x20)(?:{_NAME})(?:\x20{_NAME})?|(?:{_GIVEN})\x20{_NAME}",
-    "secret": r"(?i:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\"']?[^\s\"']{6,}|AKIA[0-9A-Z]{16}|[0-9a-f]{32,64}",
+    "email": r"[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}",
+    "name": rf"(?=\p{{Lu}})(?:(?:{_TITLE})\.?\x20(?:{_NAME})(?:\x20{_NAME})?|(?:{_GIVEN})\x20{_NAME})",
+    "secret": r"(?=[pPsStTaA])(?i:password|passwd|secret|token|api_?key)\x20?[=:]\x20?[\"']?[^\s\"']{6,}|AKIA[0-9A-Z]{16}|[0-9a-f]{32,64}",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "ip": r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![.]?[0-9])",
+    "ip": r"(?=[0-9]{1,3}\.)(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![.]?[0-9])",
     "phone": r"\+[0-9]{1,3}[\x20.\-]?(?:\([0-9]{1,4}\)[\x20.\-]?)?[0-9]{2,4}(?:[\x20.\-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}",
     "card": r"[0-9](?:[\x20\-]?[0-9]){12,18}",
 }
 PATTERN = "(?:" + _EDGE + "(?:" + "|".join(f"(?:{KINDS[k]})" for k in KINDS if k != "phone") + ")" + _END + ")|(?:" + r"(?<![\p{L}\p{N}+])" + f"(?:{KINDS['phone']}){_END})"
-#: A text without a match of this has no entity.
-HINT = rf"[0-9@]|{_TITLE}|{_GIVEN}|(?i:password|passwd|secret|token|api_?key)"
+#: A text without a match of this has no entity; every alternative is gated by one character.
+HINT = rf"[0-9@=:]|(?=\p{{Lu}})(?:{_TITLE}|{_GIVEN})[.\x20]"
 ALPHABETS = {"lower": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 MAX_TRIES = 50
 
@@ -141,7 +141,7 @@ def _like(c: Column, x: Column) -> Column:
 
 def _found(docs: DataFrame, key: str, text: str) -> DataFrame:
     t = docs[text]
-    return docs.select(docs[key].alias("i"), F.xxhash64(t).alias("m"), F.when(t.rlike(HINT), t).alias("t")).where(F.col("t").isNotNull())
+    return docs.where(t.rlike(HINT)).select(docs[key].alias("i"), F.xxhash64(t).alias("m"), t.alias("t"))
 
 
 def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,7 +180,10 @@ def replace_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", secret
         df = docs.join(fix, docs[key].eqNullSafe(fix["i"]) & (F.xxhash64(docs[text]) == fix["m"]), "left").select(*[docs[c] for c in cols], "__tries")
         tries = F.col("__tries")
     hit = F.when(F.col(text).rlike(HINT), F.col(text))
-    df = let(df, name, v=F.regexp_extract_all(hit, F.lit(PATTERN), F.lit(0)), gaps=F.split(hit, PATTERN, -1), tries=tries)
+    df = let(df, name, hit=hit, tries=tries)
+    df = let(df, name, v=F.regexp_extract_all(f"{name}__hit", F.lit(PATTERN), F.lit(0)))
+    # Only texts that have entities are taken apart.
+    df = let(df, name, gaps=F.when(F.size(f"{name}__v") > 0, F.split(f"{name}__hit", PATTERN, -1)))
     v, gaps = F.col(f"{name}__v"), F.col(f"{name}__gaps")
     of = lambda x, i: F.struct(x.alias("v"), kind_of(x).alias("k"), F.coalesce(F.try_element_at(F.col(f"{name}__tries"), i), F.lit(0)).alias("n"))
     df = let(df, name, e=F.transform(v, of))
