@@ -19,7 +19,7 @@ def names(spark, *xs):
 
 
 def test_capture_grammars(spark):
-    df = names(spark, "bj_CRH380BG-5822_20240101093000_ST1_1_1_10X5003.jpg", "beijing_CR400AF-B-2118_20240101213000_X_1_2_L7_0089.jpg", "b_C_2024_X_L7_0089.jpg", "a_b_c_ori007_5_ZHENG.jpg", "junk.jpg")
+    df = names(spark, "bj_CRH380BG-5822_20240101093000_ST1_1_1_10X5003.jpg", "beijing_CR400AF-B-2118_20240101213000_X_1_L7_0089.jpg", "b_C_2024_X_L7_0089.jpg", "a_b_c_ori007_5_ZHENG.jpg", "junk.jpg")
     got = [r.m for r in df.select(C.parse_capture(F.col("name")).alias("m")).collect()]
     assert (got[0].channel, got[0].pic_no, got[0].prefix) == ("5", 3, "bj_CRH380BG-5822_20240101093000_ST1_1_1_10X5")
     assert got[1].channel == "L7" and got[1].pic_no == 89
