@@ -154,8 +154,11 @@ def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def changed_keys(found: DataFrame, key: str, scratch: Scratch) -> DataFrame:
     """kind, c, tries (over 0): the entities whose first surrogate would meet another or an original."""
     ents = scratch.put(found.select("kind", "c").distinct().withColumn("tries", F.lit(0)), "entities")
+    # Few bytes but much work each: spread by hash whatever the size, and made once.
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(MAX_TRIES):
-        made = let(ents, "s", s=surrogate(F.col("kind"), F.col("c"), F.col("tries"), key)).select("kind", "c", "tries", F.col("s__s").alias("s"))
+        made = let(ents.repartition(parts, "c"), "s", s=surrogate(F.col("kind"), F.col("c"), F.col("tries"), key))
+        made = scratch.put(made.select("kind", "c", "tries", F.col("s__s").alias("s")), "made")
         first = made.groupBy("kind", "s").agg(F.min(F.struct("tries", "c")).alias("first"), F.count("*").alias("n"))
         own = made.join(first, ["kind", "s"]).join(ents.select("kind", F.col("c").alias("s"), F.lit(True).alias("taken")), ["kind", "s"], "left")
         again = F.coalesce("taken", F.lit(False)) | ((F.col("n") > 1) & (F.col("c") != F.col("first.c")))
