@@ -14,19 +14,44 @@ from trackwise.functions import vectors as V
 
 from .graph import min_label_components
 
-#: Codes that may be held in one array on each executor.
+#: Rows of a codebook or cluster sample that are broadcast at most.
 MAX_CODES = 65_536
 
 
+def _matrix(df: DataFrame, key: str, vec: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and vectors of a small table, in order of key; a larger one is an error."""
+    rows = df.select(F.col(key).cast("long").alias("k"), V.doubles(F.col(vec)).alias("v")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows: cluster a sample and assign the rest, or index the codebook")
+    rows.sort(key=lambda r: r["k"])
+    return np.array([r["k"] for r in rows], np.int64), np.array([r["v"] for r in rows], float)
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None], 0)
+
+
+BLOCK = 1024
+
+
 def nearest_code(df: DataFrame, vec: str, codes: DataFrame, code: str = "code_id", code_vec: str = "vec") -> DataFrame:
-    """code and dist2: the nearest code of each row, ties to the smaller id. The codebook, whose size is checked, travels
-    as one row; each row is compared with it in place, so no pair of rows is ever made."""
-    n = codes.limit(MAX_CODES + 1).count()
-    if n > MAX_CODES:
-        raise ValueError(f"a codebook of more than {MAX_CODES} codes needs an index")
-    book = codes.agg(F.sort_array(F.collect_list(F.struct(F.col(code).alias("c"), V.doubles(F.col(code_vec)).alias("v")))).alias("__book"))
-    best = F.array_min(F.transform("__book", lambda k: F.struct(V.distance2(k.v, F.col(vec)).alias("d"), k.c.alias("c"))))
-    return df.join(F.broadcast(book)).withColumn("__best", best).withColumn("code", F.col("__best.c")).withColumn("dist2", F.col("__best.d")).drop("__book", "__best")
+    """code and dist2: the nearest code of each row, ties to the smaller id. The codebook, whose size is checked, is
+    broadcast once; rows meet it in blocks of a matrix product, so no pair of rows is ever made."""
+    ids, book = _matrix(codes, code, code_vec, MAX_CODES)
+    shared = df.sparkSession.sparkContext.broadcast((ids, book))
+
+    @F.pandas_udf("code long, dist2 double")
+    def near(vecs: pd.Series) -> pd.DataFrame:
+        keys, c = shared.value
+        x = np.array(vecs.tolist(), float)
+        got, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for a in range(0, len(x), BLOCK):
+            part = x[a : a + BLOCK]
+            best = np.round(_squares(part, c), 9).argmin(1)
+            got[a : a + BLOCK], dist[a : a + BLOCK] = keys[best], ((part - c[best]) ** 2).sum(1)
+        return pd.DataFrame({"code": got, "dist2": dist})
+
+    return df.withColumn("__near", near(F.col(vec))).withColumn("code", F.col("__near.code")).withColumn("dist2", F.col("__near.dist2")).drop("__near")
 
 
 def code_usage(assigned: DataFrame, n_codes: int, code: str = "code") -> DataFrame:
@@ -65,25 +90,37 @@ def lloyd_step(df: DataFrame, vec: str, codes: DataFrame, cosine: bool = True) -
     return codes.join(got, "code_id", "left").select("code_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), F.when(F.col("n").isNull(), V.doubles(F.col("vec"))).otherwise(mean).alias("vec"))
 
 
-def pairs_within(df: DataFrame, key: str, vec: str, cell: float | None = None) -> DataFrame:
-    """a, b, dist for the pairs of a table that the caller holds small (cluster samples): each row is compared, in blocks,
-    with the whole set as one broadcast array whose size is checked."""
-    if df.limit(MAX_CODES + 1).count() > MAX_CODES:
-        raise ValueError(f"exact distances are for samples of up to {MAX_CODES} rows; cluster a sample and assign the rest")
-    every = df.agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), V.doubles(F.col(vec)).alias("v")))).alias("__all"))
-    near = F.transform("__all", lambda o: F.struct(o.k.alias("b"), F.sqrt(V.distance2(o.v, F.col(vec))).alias("dist")))
-    if cell is not None:
-        near = F.filter(near, lambda o: o.dist <= cell)
-    return df.join(F.broadcast(every)).select(F.col(key).alias("a"), F.explode(near).alias("o")).select("a", "o.b", "o.dist")
+def pairs_within(df: DataFrame, key: str, vec: str, distance: float) -> DataFrame:
+    """a, b, dist for the pairs within distance of a table that the caller holds small (a cluster sample, whose size is
+    checked): rows in blocks against the whole sample."""
+    ids, every = _matrix(df, key, vec, MAX_CODES)
+    shared = df.sparkSession.sparkContext.broadcast((ids, every))
+
+    def run(frames):
+        keys, y = shared.value
+        for f in frames:
+            for a in range(0, len(f), BLOCK):
+                own = f["a"].to_numpy()[a : a + BLOCK]
+                d = np.sqrt(_squares(np.array(f["v"].tolist()[a : a + BLOCK], float), y))
+                i, j = np.nonzero(d <= distance)
+                yield pd.DataFrame({"a": own[i], "b": keys[j], "dist": d[i, j]})
+
+    return df.select(F.col(key).cast("long").alias("a"), V.doubles(F.col(vec)).alias("v")).mapInPandas(run, "a long, b long, dist double")
 
 
 def kth_distance(df: DataFrame, key: str, vec: str, k: int) -> DataFrame:
     """Distance to the k-th neighbour, the point itself being the first."""
-    if df.limit(MAX_CODES + 1).count() > MAX_CODES:
-        raise ValueError(f"exact distances are for samples of up to {MAX_CODES} rows")
-    every = df.agg(F.collect_list(V.doubles(F.col(vec))).alias("__all"))
-    near = F.array_sort(F.transform("__all", lambda o: F.sqrt(V.distance2(o, F.col(vec)))))
-    return df.join(F.broadcast(every)).select(key, F.element_at(near, k).alias("kth"))
+    ids, every = _matrix(df, key, vec, MAX_CODES)
+    shared = df.sparkSession.sparkContext.broadcast(every)
+
+    @F.pandas_udf("double")
+    def kth(vecs: pd.Series) -> pd.Series:
+        y, x, out = shared.value, np.array(vecs.tolist(), float), []
+        for a in range(0, len(x), BLOCK):
+            out.append(np.sqrt(np.partition(_squares(x[a : a + BLOCK], y), k - 1, axis=1)[:, k - 1]))
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return df.select(key, kth(V.doubles(F.col(vec))).alias("kth"))
 
 
 def auto_eps(df: DataFrame, key: str, vec: str, k: int, pct: float = 0.85) -> DataFrame:
