@@ -113,14 +113,15 @@ def kth_distance(df: DataFrame, key: str, vec: str, k: int) -> DataFrame:
     ids, every = _matrix(df, key, vec, MAX_CODES)
     shared = df.sparkSession.sparkContext.broadcast(every)
 
-    @F.pandas_udf("double")
-    def kth(vecs: pd.Series) -> pd.Series:
-        y, x, out = shared.value, np.array(vecs.tolist(), float), []
-        for a in range(0, len(x), BLOCK):
-            out.append(np.sqrt(np.partition(_squares(x[a : a + BLOCK], y), k - 1, axis=1)[:, k - 1]))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(frames):
+        y = shared.value
+        for f in frames:
+            for a in range(0, len(f), BLOCK):
+                part = f.iloc[a : a + BLOCK]
+                d = np.sqrt(_squares(np.array(part["v"].tolist(), float), y))
+                yield pd.DataFrame({key: part[key].to_numpy(), "kth": np.partition(d, k - 1, axis=1)[:, k - 1]})
 
-    return df.select(key, kth(V.doubles(F.col(vec))).alias("kth"))
+    return df.select(F.col(key).cast("long").alias(key), V.doubles(F.col(vec)).alias("v")).mapInPandas(run, f"`{key}` long, kth double")
 
 
 def auto_eps(df: DataFrame, key: str, vec: str, k: int, pct: float = 0.85) -> DataFrame:

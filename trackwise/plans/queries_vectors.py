@@ -262,3 +262,82 @@ def q50_windowed_metrics(spark, sf):
     from trackwise.streaming.islands import windowed_metrics
 
     return windowed_metrics(table(spark, sf, "events"), "ts", ["event_type"], "value", "1 day").withColumn("mean", F.round("mean", 6))
+
+
+NAMES = "select case p_partkey % 6 when 0 then 'cls_token' when 1 then 'patch_embed.proj.weight' when 2 then 'blocks.' || cast(p_partkey % 80 as string) || '.attn.weight' when 3 then 'blocks.' || cast(p_partkey % 12 as string) || '.mlp.bias' when 4 then 'rel_pos_bias.table' else 'head.weight' end as name, p_partkey, p_size from part"
+
+
+def _names(spark, sf):
+    return spark.sql(NAMES.replace("from part", "from {part}"), part=table(spark, sf, "part"))
+
+
+@query(f"""with n as (select distinct name, case when name like '%.bias' then 1 else 2 end as dims from ({NAMES})),
+  l as (select name, case when name = 'cls_token' or name like 'patch_embed%' then 0 when name like 'blocks.%' then cast(split_part(name, '.', 2) as int) + 1 else 13 end as layer, dims > 1 and name not like '%.bias' and name <> 'cls_token' as decay from n)
+select cast(layer as int) as layer, decay, string_agg(name, ',' order by name) as names from l group by 1, 2""")
+def q51_parameter_groups(spark, sf):
+    from trackwise.operators import names as NM
+
+    df = _names(spark, sf).select("name").distinct().withColumn("dims", F.when(F.col("name").endswith(".bias"), 1).otherwise(2))
+    return NM.parameter_groups(df, "name", "dims", 14, ["cls_token"]).select("layer", "decay", F.array_join("names", ",").alias("names"))
+
+
+@query(f"with n as (select distinct name from ({NAMES})), k as (select substr(name, 8) as name from n where starts_with(name, 'blocks.')) select name from k where name not like '1%' and name not in (select substr(name, 8) from ({NAMES}) where p_partkey < 40) and name not like '%mlp%'")
+def q52_missing_keys(spark, sf):
+    from trackwise.operators import names as NM
+
+    every = _names(spark, sf)
+    want = NM.strip_prefix(every.select("name"), "name", "blocks.", ["1"])
+    have = NM.strip_prefix(every.where("p_partkey < 40").select("name"), "name", "blocks.")
+    return NM.missing(want, have, "name", ["mlp"])
+
+
+@query("select event_type, max(value) as lr, min(value) as min_lr, arg_max(value, case when value > 5 then event_id end) as weight_decay from events group by 1")
+def q53_schedule_figures(spark, sf):
+    from trackwise.operators import names as NM
+
+    df = table(spark, sf, "events").withColumn("wd", F.when(F.col("value") > 5, F.col("value")).otherwise(0.0))
+    return NM.schedule_figures(df, ["event_type"], "value", "wd", "event_id")
+
+
+@query("select vec_id, cast(vec_id % 14 * 16 as int) as x0, cast(vec_id // 14 % 14 * 16 as int) as y0, cast(vec_id % 14 * 16 + 16 as int) as x1, cast(vec_id // 14 % 14 * 16 + 16 as int) as y1 from embeddings")
+def q54_patch_boxes(spark, sf):
+    from trackwise.operators import grids as G
+
+    x0, y0, x1, y1 = G.patch_box(F.col("p"), 14, 16)
+    return table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 196).alias("p")).select("vec_id", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+@query("select vec_id, cast(count(*) as int) as n, round(sum(x), 6) as total from (select vec_id, cast(unnest(embedding) as double) as x, generate_subscripts(embedding, 1) - 1 as i from embeddings) where (i + vec_id) % 3 = 0 group by 1")
+def q55_masked_tokens(spark, sf):
+    from trackwise.operators import grids as G
+
+    mask = F.transform("vec", lambda x, i: F.when((i + F.col("vec_id")) % 3 == 0, 1).otherwise(0))
+    df = features(spark, sf).select("vec_id", "vec", mask.alias("mask")).select("vec_id", G.masked_tokens(F.col("vec"), F.col("mask")).alias("t"))
+    return df.select("vec_id", F.size("t").alias("n"), F.round(V.total(F.col("t")), 6).alias("total"))
+
+
+@query("with c as (select label, row_number() over (order by label) - 1 as new_index from (select distinct label from embeddings where label % 2 = 0)) select vec_id, label, cast(new_index as int) as new_index from embeddings join c using (label)")
+def q56_class_subset(spark, sf):
+    from trackwise.operators import grids as G
+
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    return G.subset_rows(e, e.where("label % 2 = 0").select("label"), "label")
+
+
+@query()
+def q57_crop_geometry(spark, sf):
+    from trackwise.operators import grids as G
+
+    df = table(spark, sf, "orders").select("o_orderkey", (200 + F.col("o_orderkey") % 300).alias("w"), (100 + F.col("o_orderkey") % 170).alias("h"))
+    return G.crop_geometry(df, "o_orderkey", "w", "h").select("o_orderkey", "crop.*", F.col("w").alias("width"), F.col("h").alias("height"))
+
+
+@query()
+def q58_cluster_methods(spark, sf):
+    from trackwise.plans.clustering import cluster_all
+
+    out = None
+    for name, df in cluster_all(features(spark, sf), "vec_id", "img", "txt", "label").items():
+        df = df.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("method", F.lit(name))
+        out = df if out is None else out.unionByName(df)
+    return out
