@@ -4,8 +4,8 @@ Each text's set of 5-word shingles becomes ``M`` registers: minima of exponentia
 exponential scale of base ``B``. Bands of ``ROWS`` register values propose pairs, a likelihood over register comparisons
 (set sizes known) discards unlikely ones, and full sets confirm the rest. Equal sets collapse first, so groups of exact
 copies cost one row. Within a bucket only links to its smallest member are tried; pairs that remain in different
-components after that are compared by registers in bounded blocks, so no link between different texts is lost and no
-bucket emits all of its pairs.
+components after that are compared in bounded blocks, by registers and then by full sets, and only links that join
+components come out: no link between different texts is lost and no bucket emits its pairs.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; rows with a null id take no part
 and are kept; repeated rows are copies of each other and share component and fate; ties go to the smallest id; an empty
@@ -115,31 +115,47 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _cross(most: int):
-    """For one block pair of a bucket: each member's likeliest ``most`` partners in other components; cut tells whether
-    there were more. side 0 and 1 are the two blocks, 2 is both."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
-        regs = _matrix(table.column("regs"))
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out: list = []
-        for i in left:
-            j = right[(comp[right] != comp[i]) & ((side[right] != side[i]) | (rep[right] > rep[i]))]
-            if not len(j):
-                continue
-            x, y = regs[i][None, :], regs[j]
-            more, less = (x > y).sum(1), (x < y).sum(1)
-            near = np.flatnonzero(M - more - less >= 0.4 * M)
-            if not len(near):
+def _sets(batches):
+    """rep, text: the sorted distinct shingle hashes of each text as bytes."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        for a, b in slices(offsets):
+            hashes, at = shingle_sets(data, offsets[a : b + 1])
+            out = [hashes[at[k] : at[k + 1]].tobytes() for k in range(b - a)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.binary())], ["rep", "hashes"])
+
+
+def _cross(table: pa.Table) -> pa.Table:
+    """For one block pair of a bucket: confirmed links between different components, as many as join them. side 0 and 1
+    are the two blocks, 2 is both. A pair belongs to the first band that its two members share, so it is tried once."""
+    rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
+    band = int(table.column("band")[0].as_py()) if table.num_rows else 0
+    regs = _matrix(table.column("regs"))
+    data, at = text_bytes(table.column("hashes"))
+    own = [np.frombuffer(data[at[k] : at[k + 1]].tobytes(), np.uint64) for k in range(len(rep))]
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    root, a, b = comp.copy(), [], []
+    for i in left:
+        j = right[(root[right] != root[i]) & ((side[right] != side[i]) | (rep[right] > rep[i]))]
+        if not len(j):
+            continue
+        x, y = regs[i][None, :], regs[j]
+        same = x == y
+        shared = same.reshape(len(j), M // ROWS, ROWS).all(2)
+        near = np.flatnonzero((same.sum(1) >= 0.4 * M) & shared[:, band] & (shared.argmax(1) == band))
+        if not len(near):
+            continue
+        est = likelihood((x > y[near]).sum(1), (x < y[near]).sum(1), np.full(len(near), n[i]), n[j[near]])
+        for k in near[np.argsort(-est, kind="stable")][: int((est >= LEAST).sum())]:
+            o = j[k]
+            if root[o] == root[i]:
                 continue
-            est = likelihood(more[near], less[near], np.full(len(near), n[i]), n[j[near]])
-            good = np.flatnonzero(est >= LEAST)
-            best = good[np.lexsort((rep[j[near[good]]], -est[good]))][:most]
-            out += [(min(rep[i], rep[k]), max(rep[i], rep[k]), len(good) > most) for k in j[near[best]]]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "cut": pa.array([x[2] for x in out], pa.bool_())})
-
-    return run
+            both = len(np.intersect1d(own[i], own[o], assume_unique=True))
+            if 100 * both >= 75 * (len(own[i]) + len(own[o]) - both):
+                a.append(min(rep[i], rep[o]))
+                b.append(max(rep[i], rep[o]))
+                root[root == root[o]] = root[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def components(nodes_edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -173,36 +189,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     heads = linked.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     regs = linked.select(F.col("doc_id").alias("i"), F.col("n_shingles").alias("n"), "regs", F.col("d0").alias("e0"), F.col("d1").alias("e1"))
     reps = scratch.put(heads.join(regs, (heads.rep == regs.i) & (heads.d0 == regs.e0) & (heads.d1 == regs.e1)).select("rep", "d0", "d1", "n", "regs").dropDuplicates(["rep", "d0", "d1"]), "reps")
-    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda i: F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("i", "part")).select("rep", F.xxhash64("i", "part").alias("bucket"))
+    bands = reps.select("rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda i: F.substring("regs", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("i", "part")).select("rep", F.col("i").alias("band"), F.xxhash64("i", "part").alias("bucket"))
     full = bands.groupBy("bucket").agg(F.min("rep").alias("center"), F.max("rep").alias("last"), F.count("*").alias("members")).where(F.col("center") != F.col("last"))
-    member = scratch.put(bands.join(full, "bucket").select("bucket", "rep", "center", "members"), "member")
+    member = scratch.put(bands.join(full, "bucket").select("bucket", "band", "rep", "center", "members"), "member")
     stars = member.where(F.col("rep") != F.col("center")).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    links = scratch.put(_verified(stars, reps, lean, True), "links")
+    links = scratch.put(_verified(stars, reps, lean), "links")
     label = components(links, scratch)
-    # What the stars left in different components of one bucket: compared by registers, in blocks. Each member first
-    # tries its few likeliest partners, which joins most of what belongs together; as long as some had more to try and are
-    # still apart, the number grows, so in the end every likely pair across components has been tried.
-    tried, most = [stars], 4
-    while True:
-        wide = member.where(F.col("members") > 2).join(label, member.rep == label.node, "left").select("bucket", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
-        mixed = wide.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
-        odd = wide.join(mixed, "bucket").join(reps.select("rep", "n", "regs"), "rep")
-        odd = odd.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        odd = odd.select("bucket", "rep", "comp", "n", "regs", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        odd = odd.select("bucket", "rep", "comp", "n", "regs", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-        crossed = scratch.put(odd.groupBy("bucket", "lo", "hi").applyInArrow(_cross(most), "a long, b long, cut boolean").groupBy("a", "b").agg(F.max("cut").alias("cut")), f"crossed{most}")
-        new = crossed.select("a", "b")
-        for old in tried:
-            new = new.join(old, ["a", "b"], "left_anti")
-        more = scratch.put(_verified(new, reps, lean, False), f"more{most}")
-        tried.append(crossed.select("a", "b"))
-        if more.limit(1).count():
-            links = links.union(more)
-            label = components(links, scratch)
-        if not crossed.where("cut").limit(1).count():
-            break
-        most *= 16
-    scratch.drop("member")
+    # What the stars left in different components of one bucket: compared in blocks, by registers and then by full sets,
+    # where they are; only links that join components come out, never pairs.
+    wide = member.where(F.col("members") > 2).join(label, member.rep == label.node, "left").select("bucket", "band", "rep", "members", F.coalesce("comp", "rep").alias("comp"))
+    mixed = wide.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("bucket")
+    odd = scratch.put(wide.join(mixed, "bucket"), "odd")
+    texts = lean.join(odd.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    sets = texts.mapInArrow(_sets, "rep long, hashes binary")
+    rows = odd.join(reps.select("rep", "n", "regs"), "rep").join(sets, "rep")
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    keep = ["bucket", "band", "rep", "comp", "n", "regs", "hashes"]
+    rows = rows.select(*keep, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select(*keep, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    more = scratch.put(rows.groupBy("bucket", "lo", "hi").applyInArrow(_cross, "a long, b long").distinct(), "more")
+    if more.limit(1).count():
+        label = components(links.union(more), scratch)
+    scratch.drop("member", "odd")
     heads = reps.select("rep", "d0", "d1").join(label, reps.rep == label.node, "left").select("d0", "d1", F.coalesce("comp", "rep").alias("comp"), F.lit(True).alias("real"))
     out = sketch.drop("regs").join(heads, ["d0", "d1"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("doc_id"))
@@ -210,11 +218,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, lean: DataFrame, screen: bool) -> DataFrame:
-    if screen:
-        x = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-        y = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-        pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long")
+def _verified(pairs: DataFrame, reps: DataFrame, lean: DataFrame) -> DataFrame:
+    """The pairs a, b that are likely by registers and then similar on full sets."""
+    x = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
+    y = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+    pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long")
     x = lean.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).where(F.col("a").isNotNull())
     y = lean.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).where(F.col("b").isNotNull())
     return pairs.join(y, "b").join(x, "a").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long").distinct()
