@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             column = batch.column(2)
             data, offsets = text_bytes(column)
             pred, score = np.full(batch.num_rows, len(m.langs)), np.zeros(batch.num_rows)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 1 << 19):
                 at = offsets[a : b + 1]
                 bits = m.bits(data, at)
                 seen = np.concatenate([[0], np.cumsum(_LETTER[data[at[0] : at[-1]]])])
