@@ -1,5 +1,7 @@
 """The corpus operators against brute force, and their defined results for odd inputs."""
 
+import itertools
+import math
 import random
 import re
 import zlib
@@ -116,6 +118,24 @@ def test_leaks(spark):
     assert decontaminate.leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_leak_masks_meet_every_pattern():
+    for n in range(1, decontaminate.SPAN + 1):
+        for bad in itertools.combinations(range(n), n - math.ceil(n * decontaminate.SAME)):
+            assert any(all(i + j not in bad for j, c in enumerate(m) if c == "1") for m in decontaminate.MASKS[n] for i in range(n - len(m) + 1)), (n, bad)
+
+
+def test_leaks_of_short_and_changed_items(spark):
+    items = [(n, [f"t{n}q{k}" for k in range(n)]) for n in range(1, 14)]
+    docs, want = [], set()
+    for n, w in items:
+        for bad in itertools.combinations(range(n), min(n, n - math.ceil(n * decontaminate.SAME) + 1)):
+            leaks = [x if k not in bad[1:] else "ZZZ" for k, x in enumerate(w)]
+            want.add((len(docs), n))
+            docs += [(len(docs), f"One two, {' '.join(leaks)} three"), (len(docs) + 1, " ".join("ZZZ" if k in bad else x for k, x in enumerate(w)))]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, docs), bench).collect()} == want
+
+
 def test_surrogates(spark):
     a, b = "bob.smith_9@mail3.example.com", "4111 1111 1111 1111"
     docs = [(1, f"Write to {a} or Bob.Smith_9@Mail3.Example.com."), (2, f"again {a}; card {b} or 4111111111111111, +1 (830) 555-5433."), (3, None), (4, ""), (None, "plain"), (5, "Mrs Clara Smith and Mr. Adam Smith at 10.1.22.254"), (5, "DE89 3704 0044 0532 0130 00")]

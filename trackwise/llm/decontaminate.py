@@ -7,8 +7,12 @@ before the join; they have no false negatives. A hit names a diagonal: item, doc
 On each diagonal the tokens are compared one by one, and a stretch of ``SPAN`` tokens (the item's length if shorter) with
 at least ``SAME`` of them equal is a leak.
 
-Defined results: null or empty texts on either side have no tokens and match nothing; items shorter than the shortest
-mask are compared as whole token sequences of their own length; ties go to the longest match, then the smallest position;
+The masks miss no leak: whichever tokens of a stretch differ, as long as ``SAME`` of them are equal, one of the masks for
+its length lies on equal tokens only. Items shorter than ``SPAN`` have masks by their length, which the documents are
+searched with only if the benchmark has such items.
+
+Defined results: null or empty texts on either side have no tokens and match nothing; items shorter than ``SPAN`` are
+compared over their own length, those of up to 3 tokens whole; ties go to the longest match, then the smallest position;
 repeated rows are reported once per id; a null id is reported as null; empty tables give an empty result. Only the id and
 text columns are read.
 """
@@ -20,8 +24,22 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, let
 
-# The masks; 1 counts, 0 is ignored.
-MASKS = ["1101011", "1110111"]
+# The masks by the length of the stretch compared; 1 counts, 0 is ignored.
+MASKS = {
+    1: ["1"],
+    2: ["11"],
+    3: ["111"],
+    4: ["111", "1101", "1011"],
+    5: ["1111", "11101", "11011", "10111"],
+    6: ["1111", "11011"],
+    7: ["11011"],
+    8: ["1111", "11011", "1100011"],
+    9: ["11101", "100111"],
+    10: ["111011", "1101011", "1110011"],
+    11: ["1101011", "1110011"],
+    12: ["11101", "10111"],
+    13: ["111011", "1101011", "1100001011"],
+}
 SLOTS = 1 << 19
 POS_BITS = 30
 SPAN, SAME = 13, 0.75
@@ -64,13 +82,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """doc_id, item_id, n_same, n_span, doc_start (token position): one row for each document and item it leaks."""
     scratch = Scratch(docs.sparkSession)
     items = scratch.put(benchmark.select(benchmark[item].alias("item_id"), tokens(benchmark[item_text]).alias("ih")).where(F.size("ih") > 0), "items")
-    ikeys = items.select("item_id", F.explode(F.concat(*[_seeds(F.col("ih"), m) for m in MASKS])).alias("x"))
+    span = F.least(F.size("ih"), F.lit(SPAN))
+    lengths = {n for (n,) in items.select(span).distinct().collect()} or {SPAN}  # SPAN numbers at most
+    masks = {m: [n for n in sorted(lengths) if m in MASKS[n]] for n in sorted(lengths) for m in MASKS[n]}
+    ikeys = items.select("item_id", F.explode(F.concat(*[F.when(span.isin(ns), _seeds(F.col("ih"), m)).otherwise(F.array().cast("array<bigint>")) for m, ns in masks.items()])).alias("x"))
     ikeys = scratch.put(ikeys.select("item_id", _key(F.col("x")).alias("key"), F.col("x").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("ipos")), "keys")
     lean = docs.select(docs[key].alias("doc_id"), docs[text].alias("t"))
     df = let(lean, "d", h=tokens(F.col("t")))
     bits = [_bits(ikeys, w) for w in (0, 1)]
-    df = let(df, "d", **{f"s{i}": _seeds(F.col("d__h"), m) for i, m in enumerate(MASKS)})
-    may = [F.filter(F.col(f"d__s{i}"), lambda x: _has(bits[0], _slot(_key(x), 0)) & _has(bits[1], _slot(_key(x), 1))) for i in range(len(MASKS))]
+    df = let(df, "d", **{f"s{i}": _seeds(F.col("d__h"), m) for i, m in enumerate(masks)})
+    may = [F.filter(F.col(f"d__s{i}"), lambda x: _has(bits[0], _slot(_key(x), 0)) & _has(bits[1], _slot(_key(x), 1))) for i in range(len(masks))]
     seen = let(df, "d", may=F.concat(*may)).select("doc_id", F.explode("d__may").alias("x"))
     seen = seen.select("doc_id", _key(F.col("x")).alias("key"), F.col("x").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("pos"))
     diag = seen.join(ikeys, "key").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).cast("int").alias("diag")).distinct()
