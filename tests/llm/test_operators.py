@@ -268,6 +268,13 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(df, none).collect()} == {0.0}
 
 
+def test_leaks_of_null_ids(spark):
+    bench = spark.createDataFrame([(0, prose(20, 22))], "item_id long, text string")
+    docs = table(spark, [(None, prose(20, 22)), (None, prose(30, 23)), (None, None), (1, prose(20, 22)), (2, prose(30, 24))])
+    assert sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()), key=str) == [(1, 0), (None, 0)]
+    assert sorted(((r.doc_id, r.text) for r in decontaminate.drop_leaks(docs, bench).collect()), key=str) == sorted([(None, prose(30, 23)), (None, None), (2, prose(30, 24))], key=str)
+
+
 def test_page_text(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="<p>no</p>";</script></head><body><header><h1>Site</h1></header><nav><a>Home</a></nav>
     <div class="ad">Buy, now!</div><div id="cookie-notice"><p>We use cookies, a lot.</p></div><article><h1>A &amp; B</h1><p>First   part, with <b>bold</b> text.<br>And more, of it.<p>Second; part.</p><ul><li>one</li></ul><div class="comments"><p>Nice, post!</p></div></article>

@@ -80,6 +80,22 @@ def _has(bits: Column, slot: Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_same, n_span, doc_start (token position): one row for each document and item it leaks."""
+    every = _leaks(docs, benchmark, key, text, item, item_text)
+    best = every.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", (-F.col("doc_start")).alias("back"), "n_span")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.n_same").alias("n_same"), F.col("m.n_span").alias("n_span"), (-F.col("m.back")).alias("doc_start"))
+
+
+def _row(docs: DataFrame, key: str, text: str) -> Column:
+    """What tells rows with a null id apart, null for the others."""
+    return F.when(docs[key].isNull(), F.xxhash64(docs[text]))
+
+
+def _meets(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & a["row"].eqNullSafe(b["row"])
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str, item_text: str) -> DataFrame:
+    """doc_id, row, item_id, n_same, n_span, doc_start of every diagonal that is a leak."""
     scratch = Scratch(docs.sparkSession)
     items = scratch.put(benchmark.select(benchmark[item].alias("item_id"), tokens(benchmark[item_text]).alias("ih")).where(F.size("ih") > 0), "items")
     span = F.least(F.size("ih"), F.lit(SPAN))
@@ -87,28 +103,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     masks = {m: [n for n in sorted(lengths) if m in MASKS[n]] for n in sorted(lengths) for m in MASKS[n]}
     ikeys = items.select("item_id", F.explode(F.concat(*[F.when(span.isin(ns), _seeds(F.col("ih"), m)).otherwise(F.array().cast("array<bigint>")) for m, ns in masks.items()])).alias("x"))
     ikeys = scratch.put(ikeys.select("item_id", _key(F.col("x")).alias("key"), F.col("x").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("ipos")), "keys")
-    lean = docs.select(docs[key].alias("doc_id"), docs[text].alias("t"))
+    lean = docs.select(docs[key].alias("doc_id"), _row(docs, key, text).alias("row"), docs[text].alias("t"))
     df = let(lean, "d", h=tokens(F.col("t")))
     bits = [_bits(ikeys, w) for w in (0, 1)]
     df = let(df, "d", **{f"s{i}": _seeds(F.col("d__h"), m) for i, m in enumerate(masks)})
     may = [F.filter(F.col(f"d__s{i}"), lambda x: _has(bits[0], _slot(_key(x), 0)) & _has(bits[1], _slot(_key(x), 1))) for i in range(len(masks))]
-    seen = let(df, "d", may=F.concat(*may)).select("doc_id", F.explode("d__may").alias("x"))
-    seen = seen.select("doc_id", _key(F.col("x")).alias("key"), F.col("x").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("pos"))
-    diag = seen.join(ikeys, "key").select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).cast("int").alias("diag")).distinct()
-    diag = scratch.put(diag.groupBy("doc_id", "item_id").agg(F.collect_set("diag").alias("diags")), "diagonals")
-    mine = lean.join(diag.select("doc_id").distinct(), "doc_id", "left_semi")
-    both = scratch.put(let(mine, "d", h=tokens(F.col("t"))).select("doc_id", F.col("d__h").alias("h")), "texts").join(diag, "doc_id").join(items, "item_id")
-    every = let(both.select("doc_id", "item_id", "h", "ih", F.explode("diags").alias("diag")), "v", same=F.transform("ih", lambda x, i: F.when(F.get("h", F.col("diag") + i) == x, 1).otherwise(0)), span=F.least(F.size("ih"), F.lit(SPAN)))
+    seen = let(df, "d", may=F.concat(*may)).select("doc_id", "row", F.explode("d__may").alias("x"))
+    seen = seen.select("doc_id", "row", _key(F.col("x")).alias("key"), F.col("x").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("pos"))
+    diag = seen.join(ikeys, "key").select("doc_id", "row", "item_id", (F.col("pos") - F.col("ipos")).cast("int").alias("diag")).distinct()
+    diag = scratch.put(diag.groupBy("doc_id", "row", "item_id").agg(F.collect_set("diag").alias("diags")), "diagonals")
+    hit = diag.select("doc_id", "row").distinct()
+    mine = lean.join(hit, _meets(lean, hit), "left_semi")
+    mine = scratch.put(let(mine, "d", h=tokens(F.col("t"))).select("doc_id", "row", F.col("d__h").alias("h")), "texts")
+    both = mine.join(diag, _meets(mine, diag)).select(mine["doc_id"], mine["row"], "h", "item_id", "diags").join(items, "item_id")
+    every = let(both.select("doc_id", "row", "item_id", "h", "ih", F.explode("diags").alias("diag")), "v", same=F.transform("ih", lambda x, i: F.when(F.get("h", F.col("diag") + i) == x, 1).otherwise(0)), span=F.least(F.size("ih"), F.lit(SPAN)))
     same, span = F.col("v__same"), F.col("v__span")
     run = F.transform(F.sequence(F.lit(1), F.size(same) - span + 1), lambda i: F.aggregate(F.slice(same, i, span), F.lit(0), lambda a, x: a + x))
     every = let(every, "v", best=F.array_max(run)).where(F.col("v__best") >= F.ceil(F.col("v__span") * SAME))
     total = F.aggregate(same, F.lit(0), lambda a, x: a + x)
-    out = every.select("doc_id", "item_id", total.alias("n_same"), F.col("v__span").alias("n_span"), F.greatest(F.col("diag"), F.lit(0)).alias("doc_start"))
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", (-F.col("doc_start")).alias("back"), "n_span")).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.n_same").alias("n_same"), F.col("m.n_span").alias("n_span"), (-F.col("m.back")).alias("doc_start"))
+    return every.select("doc_id", "row", "item_id", total.alias("n_same"), F.col("v__span").alias("n_span"), F.greatest(F.col("diag"), F.lit(0)).alias("doc_start"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents that leak no benchmark item, with their own columns."""
-    bad = leaks(docs, benchmark, key, text, item, item_text).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs[key] == bad["__leak"], "left_anti")
+    bad = _leaks(docs, benchmark, key, text, item, item_text).select(F.col("doc_id").alias("__leak"), F.col("row").alias("__row")).distinct()
+    return docs.join(bad, docs[key].eqNullSafe(bad["__leak"]) & _row(docs, key, text).eqNullSafe(bad["__row"]), "left_anti")
