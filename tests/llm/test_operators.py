@@ -293,6 +293,15 @@ def test_licences(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_licences_on_the_threshold(spark):
+    docs = [(1, "Code is released under the MIT License."), (2, "All rights reserved worldwide."), (3, "All code is released under the MIT License."), (4, "All rights reserved worldwide today.")]
+    got = {(r.doc_id, r.license, r.dice) for r in licenses.scan(table(spark, docs)).collect()}
+    assert got == {(1, "MIT", 0.8), (2, "proprietary", 0.8)}
+    for m in range(1, 100):
+        low, high = licenses._bounds(m, 0.8)
+        assert (low, high) == (-(-m * 2 // 3), m * 3 // 2)
+
+
 def test_word_hashes_tell_words_apart():
     import pyarrow as pa
 

@@ -59,6 +59,12 @@ def _bigrams(unit: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def _bounds(m: int, dice: float) -> tuple[int, int]:
+    """The fewest and the most bigrams of a unit that can reach dice with m of a template, by the comparison of ``scan``."""
+    fits = [n for n in range(1, int(m * (2 - dice) / dice) + 2) if 2.0 * min(n, m) / (n + m) >= dice]
+    return (fits[0], fits[-1]) if fits else (1, 0)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", dice: float = DICE) -> DataFrame:
     """doc_id, license, dice, unit: the best unit of each document for each licence it reaches the threshold with."""
     t = docs[text]
@@ -71,7 +77,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", dice: float =
     def against(x: Column) -> Column:
         out = []
         for name, b in grams:
-            fits = F.size(x.b).between(int(len(b) * dice / (2 - dice) + 0.999999), int(len(b) * (2 - dice) / dice))
+            fits = F.size(x.b).between(*_bounds(len(b), dice))
             both = F.size(F.array_intersect(x.b, F.array(*map(F.lit, b))))
             out.append(F.when(fits, F.struct(F.lit(name).alias("license"), (2.0 * both / (F.size(x.b) + len(b))).alias("dice"), x.u.alias("unit"))))
         near = F.filter(F.array(*out), lambda m: m.dice >= dice)
