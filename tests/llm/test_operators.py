@@ -302,6 +302,14 @@ def test_licences_on_the_threshold(spark):
         assert (low, high) == (-(-m * 2 // 3), m * 3 // 2)
 
 
+def test_licences_over_line_breaks(spark):
+    docs = [(1, "Some words here about it. Released under the\nMIT License. More words follow after that."), (2, "All rights\nreserved."), (3, "All  rights  reserved."), (4, "Under CC BY 4.0"), (5, "Heading\nReleased under the MIT License. More words follow after that."), (6, licenses.TEMPLATES[2][1].replace("ermission", "ermit").replace("sublicense", "lend"))]
+    got = {(r.doc_id, r.license): r.unit for r in licenses.scan(table(spark, docs)).collect()}
+    assert set(got) == {(1, "MIT"), (2, "proprietary"), (3, "proprietary"), (4, "CC-BY-4.0"), (5, "MIT"), (6, "MIT")}
+    assert got[1, "MIT"] == "Released under the\nMIT License." and got[5, "MIT"] == "Released under the MIT License."
+    assert licenses._hinted(licenses.DICE) and not licenses._hinted(0.2)
+
+
 def test_word_hashes_tell_words_apart():
     import pyarrow as pa
 

@@ -1,8 +1,8 @@
 """Licence scan by Dice coefficient over word bigrams, in DataFrame functions only.
 
-Units of a document - its sentences, lines, paragraphs and the whole text - are normalised (lower case, words of letters
-and digits) and compared with licence templates: twice the shared bigrams over the sum of both numbers. Before any set is
-built, a size bound drops templates that can't reach the threshold: with b bigrams in a template, a unit needs between
+Units of a document - its sentences (those of paragraphs, over line breaks, and those of lines), lines, paragraphs and the
+whole text - are normalised (lower case, words of letters and digits) and compared with licence templates: twice the
+shared bigrams over the sum of both numbers. Before any set is built, a size bound drops templates that can't reach the threshold: with b bigrams in a template, a unit needs between
 b * d / (2 - d) and b * (2 - d) / d of them. The templates are a fixed short list, so the scan is one pass without a join.
 
 Defined results: null, empty or one-word units have no bigrams and match nothing; ties go to the shortest unit; repeated
@@ -50,8 +50,14 @@ def _norm(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)))
 
 
-#: Words of which every template has at least two in a row; a text with none of them in it matches nothing.
-HINT = r"(?i)licen[sc]|released|permission|redistribut|free software|source code form|unencumbered|rights reserved"
+#: Beginnings of words, so many of every template that a unit without any of them lacks too many bigrams to match it.
+HINT = r"(?i)(?<![\p{L}\p{N}])(?:licen[sc]|releas|permi|reserved|distribut|redistribut|software|copyright|cop(?:y|ies)|notice|document|restrict|sublicen|publish|merge|modif|furnish|obtain|hereby|granted|condition|gnu|mozilla|mpl|cc|bsd|clause|unencumber|domain|apache|limitation|portions|foundation|version|source|purpose|compliance|charge|associated|persons|public)"
+
+
+def _hinted(dice: float) -> bool:
+    """Whether what HINT leaves out can't reach dice with any template."""
+    hint = re.compile(HINT.replace(r"(?<![\p{L}\p{N}])", r"(?<![^\W_])"))
+    return all(sum(not hint.search(x) for x in _norm(body)) < _bounds(len(_norm(body)), dice)[0] for _, body in TEMPLATES)
 
 
 def _bigrams(unit: Column) -> Column:
@@ -68,9 +74,11 @@ def _bounds(m: int, dice: float) -> tuple[int, int]:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", dice: float = DICE) -> DataFrame:
     """doc_id, license, dice, unit: the best unit of each document for each licence it reaches the threshold with."""
     t = docs[text]
-    df = docs.select(docs[key].alias("doc_id"), F.when(t.rlike(HINT), t).alias("t")).where(F.col("t").isNotNull())
+    hint = HINT if _hinted(dice) else ""
+    df = docs.select(docs[key].alias("doc_id"), F.when(t.rlike(hint), t).alias("t")).where(F.col("t").isNotNull())
     lines, paras, sents = F.split("t", r"\n"), F.split("t", r"\n\s*\n"), F.split("t", r"(?<=[.!?])\s+|\n")
-    spans = F.filter(F.array_distinct(F.concat(F.array("t"), paras, lines, sents)), lambda u: u.rlike(HINT))
+    wrapped = F.split("t", r"(?<=[.!?])\s+|\n\s*\n")
+    spans = F.filter(F.array_distinct(F.concat(F.array("t"), paras, lines, sents, wrapped)), lambda u: u.rlike(hint))
     df = let(df, "u", units=F.transform(spans, lambda u: F.struct(u.alias("u"), _bigrams(u).alias("b"))))
     grams = [(name, _norm(body)) for name, body in TEMPLATES]
 
