@@ -286,6 +286,18 @@ def test_page_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and len(got) == 5
 
 
+def test_page_text_without_article():
+    long, short, other = "Some words, and more of them. " * 10, "A short text, not long at all, but of the same page.", "Another one, of about the same length as that before."
+    long = long.strip()
+    whole = "\n".join(["T", long, short, other])
+    nav = "<nav><a>Home</a></nav><div class='footer'>Legal, of course.</div>"
+    assert html_text.extract(f"<body>{nav}<div><h1>T</h1><p>{long}</p><p>{short}</p><p>{other}</p></div></body>") == whole
+    assert html_text.extract(f"<body>{nav}<div><h1>T</h1><div><p>{long}</p></div></div></body>") == "T\n" + long
+    assert html_text.extract(f"<body>{nav}<div><h2>T</h2><p><b>{long}</b></p></div></body>") == "T\n" + long
+    assert html_text.extract(f"<body>{nav}<h1>T</h1><section><p>{long}</p></section><section><p>{short}</p><p>{other}</p></section></body>") == whole
+    assert html_text.extract(f"<p>{long}</p>") == long
+
+
 def test_licences(spark):
     docs = [(1, prose(30, 1) + "\nReleased under the MIT License.\n" + prose(9, 2)), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (5, "A license to drive, they said."), (6, licenses.TEMPLATES[2][1].replace("copy", "duplicate", 1))]
     got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, docs)).collect()}

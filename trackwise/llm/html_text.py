@@ -3,11 +3,12 @@
 A page is read once into leaf texts with their root-to-leaf tag paths; scripts, styles, comments and the like give none.
 For each path the text length per node and the punctuation per node are aggregated, both are smoothed over paths that
 follow each other on the page, fused by multiplication, and paths above the mean are content paths. The content region is
-the innermost element that holds most of the content paths' text (an article or main element if it holds them). Inside it
-every block is kept, however short, except subtrees that are boilerplate by tag, role or class name.
+an article or main element if it holds them, else the innermost element that holds all texts on content paths, the h1
+headings and more than one block. Inside it every block is kept, however short, except subtrees that are boilerplate by
+tag, role or class name.
 
 Defined results: null, empty or text-free pages give an empty text; broken and unfinished markup is read as far as it
-goes, an unfinished tag at the end is dropped; ties between regions go to the earlier one; repeated rows give the same
+goes, an unfinished tag at the end is dropped; repeated rows give the same
 text; an empty table gives an empty result. Only id, url and html are read.
 """
 
@@ -37,7 +38,6 @@ DROP_WORDS = {"ad", "ads", "adv", "advert", "advertisement", "advertising", "ban
 _PUNCT = re.compile(r"[.,;:!?。、，！？]")
 _SPACE = re.compile(r"\s+")
 CORE = {"article", "main"}
-MIN_REGION = 0.6
 
 
 def _words(attrs: str) -> set[str]:
@@ -162,7 +162,7 @@ def extract(page: str | None) -> str:
         # Several articles side by side are one region each; all that hold content count.
         region = {x for x in core if not any(p in core for p in _above(x))}
     else:
-        region = {min((x for x in held if held[x] >= MIN_REGION * total), key=lambda x: (-len(x.path.split("/")), x.number))}
+        region = {_around(leaves, paths)}
     blocks: dict[int, list[str]] = {}
     for node, block, text in leaves:
         if not node.drop and (node in region or any(p in region for p in _above(node))):
@@ -171,6 +171,20 @@ def extract(page: str | None) -> str:
     return "\n".join(x for x in out if x)
 
 
+def _around(leaves: list[tuple[_Node, int, str]], paths: set[str]) -> _Node:
+    """The innermost element with all texts on content paths, the h1 headings and a second block, if the page has one."""
+    kept = [(node, (node, *_above(node)), block) for node, block, text in leaves if text.strip() and not node.drop]
+    got = None
+    for node, line, _ in kept:
+        if node.path in paths or any(x.tag == "h1" for x in line):
+            got = got or node
+            while got not in line:
+                got = got.parent
+    while got.parent and len({block for _, line, block in kept if got in line}) < 2:
+        got = got.parent
+    return got
+
+
 def _above(node: _Node):
     while (node := node.parent) is not None:
         yield node
