@@ -187,3 +187,20 @@ def test_bool_flag(spark):
     assert [r[0] for r in names(spark, "On", "0").select(C.bool_flag(F.col("name"))).collect()] == [True, False]
     with pytest.raises(Exception, match="invalid value"):
         names(spark, "maybe").select(C.bool_flag(F.col("name"))).collect()
+
+
+def test_clustering_answers_over_its_block_and_sample_sizes(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, [10.0 * (i % 3) + r.random(), r.random()]) for i in range(60)], "k long, v array<double>")
+    at = {x.k: x.v for x in df.collect()}
+    dist = {(a, b): sum((x - y) ** 2 for x, y in zip(at[a], at[b], strict=True)) ** 0.5 for a in at for b in at}
+    for limit in (7, 20, 100):
+        got = {x.k: x.kth for x in M.kth_distance(df, "k", "v", 5, limit=limit).collect()}
+        assert got == pytest.approx({a: sorted(dist[a, b] for b in at)[4] for a in at}, abs=1e-6)
+        near = M.pairs_within(df, "k", "v", 0.5, limit=limit).collect()
+        assert sorted((x.a, x.b) for x in near) == sorted(p for p, d in dist.items() if d <= 0.5)
+        ward, dense = M.ward(df, "k", "v", 3, limit=limit + 20).collect(), M.hdbscan(df, "k", "v", 4, 2, limit=limit + 20).collect()
+        assert sorted(x.k for x in ward) == sorted(x.k for x in dense) == sorted(at)
+        assert len({x.cluster for x in ward}) == 3 == len({(x.k % 3, x.cluster) for x in ward})
+        found = {(x.cluster, x.k % 3) for x in dense if x.cluster >= 0}
+        assert {g for _, g in found} == {0, 1, 2} and len({c for c, _ in found}) == len(found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -12,9 +14,9 @@ from pyspark.sql import functions as F
 
 from trackwise.functions import vectors as V
 
-from .graph import min_label_components
+from .graph import _cut, min_label_components
 
-#: Rows of a codebook or cluster sample that are broadcast at most.
+#: Rows of a codebook, cluster sample or block of a table that are broadcast at once at most.
 MAX_CODES = 65_536
 
 
@@ -27,6 +29,16 @@ def _matrix(df: DataFrame, key: str, vec: str, limit: int) -> tuple[np.ndarray,
     return np.array([r["k"] for r in rows], np.int64), np.array([r["v"] for r in rows], float)
 
 
+def _blocks(df: DataFrame, key: str, vec: str, limit: int):
+    """Keys and vectors of a table of any size, which the driver holds one block of limit rows of at a time; at least one
+    block, each in order of key."""
+    rows, first = df.select(F.col(key).cast("long").alias("k"), V.doubles(F.col(vec)).alias("v")).toLocalIterator(), True
+    while (part := list(islice(rows, limit))) or first:
+        first = False
+        part.sort(key=lambda r: r["k"])
+        yield np.array([r["k"] for r in part], np.int64), np.array([r["v"] for r in part], float)
+
+
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None], 0)
 
@@ -90,38 +102,57 @@ def lloyd_step(df: DataFrame, vec: str, codes: DataFrame, cosine: bool = True) -
     return codes.join(got, "code_id", "left").select("code_id", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n"), F.when(F.col("n").isNull(), V.doubles(F.col("vec"))).otherwise(mean).alias("vec"))
 
 
-def pairs_within(df: DataFrame, key: str, vec: str, distance: float) -> DataFrame:
-    """a, b, dist for the pairs within distance of a table that the caller holds small (a cluster sample, whose size is
-    checked): rows in blocks against the whole sample."""
-    ids, every = _matrix(df, key, vec, MAX_CODES)
-    shared = df.sparkSession.sparkContext.broadcast((ids, every))
-
-    def run(frames):
-        keys, y = shared.value
-        for f in frames:
-            for a in range(0, len(f), BLOCK):
-                own = f["a"].to_numpy()[a : a + BLOCK]
-                d = np.sqrt(_squares(np.array(f["v"].tolist()[a : a + BLOCK], float), y))
-                i, j = np.nonzero(d <= distance)
-                yield pd.DataFrame({"a": own[i], "b": keys[j], "dist": d[i, j]})
-
-    return df.select(F.col(key).cast("long").alias("a"), V.doubles(F.col(vec)).alias("v")).mapInPandas(run, "a long, b long, dist double")
-
-
-def kth_distance(df: DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    """Distance to the k-th neighbour, the point itself being the first."""
-    ids, every = _matrix(df, key, vec, MAX_CODES)
-    shared = df.sparkSession.sparkContext.broadcast(every)
-
-    def run(frames):
-        y = shared.value
-        for f in frames:
-            for a in range(0, len(f), BLOCK):
-                part = f.iloc[a : a + BLOCK]
-                d = np.sqrt(_squares(np.array(part["v"].tolist(), float), y))
-                yield pd.DataFrame({key: part[key].to_numpy(), "kth": np.partition(d, k - 1, axis=1)[:, k - 1]})
-
-    return df.select(F.col(key).cast("long").alias(key), V.doubles(F.col(vec)).alias("v")).mapInPandas(run, f"`{key}` long, kth double")
+def pairs_within(df: DataFrame, key: str, vec: str, distance: float, limit: int = MAX_CODES) -> DataFrame:
+    """a, b, dist for the pairs within distance: rows in blocks against the whole table, which is broadcast limit rows at a
+    time."""
+    rows, out = df.select(F.col(key).cast("long").alias("a"), V.doubles(F.col(vec)).alias("v")), None
+
+    def against(shared):
+        def run(frames):
+            keys, y = shared.value
+            for f in frames:
+                for a in range(0, len(f), BLOCK):
+                    own = f["a"].to_numpy()[a : a + BLOCK]
+                    d = np.sqrt(_squares(np.array(f["v"].tolist()[a : a + BLOCK], float), y))
+                    i, j = np.nonzero(d <= distance)
+                    yield pd.DataFrame({"a": own[i], "b": keys[j], "dist": d[i, j]})
+
+        return run
+
+    for block in _blocks(df, key, vec, limit):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        part = rows.mapInPandas(against(shared), "a long, b long, dist double")
+        if len(block[0]) == limit:  # more may follow
+            part = _cut(part)
+            shared.destroy()
+        out = part if out is None else out.union(part)
+    return out
+
+
+def kth_distance(df: DataFrame, key: str, vec: str, k: int, limit: int = MAX_CODES) -> DataFrame:
+    """Distance to the k-th neighbour, the point itself being the first: rows keep their k smallest distances while the
+    whole table, limit rows at a time, is broadcast. Null in a table of fewer than k rows."""
+    out = df.select(F.col(key).cast("long").alias(key), V.doubles(F.col(vec)).alias("v"), F.array().cast("array<double>").alias("near"))
+
+    def against(shared):
+        def run(frames):
+            y = shared.value
+            for f in frames:
+                for a in range(0, len(f), BLOCK):
+                    part = f.iloc[a : a + BLOCK]
+                    d = np.hstack([np.array(part["near"].tolist(), float).reshape(len(part), -1), np.sqrt(_squares(np.array(part["v"].tolist(), float), y))])
+                    d = np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d
+                    yield pd.DataFrame({key: part[key].to_numpy(), "v": part["v"].to_numpy(), "near": list(np.sort(d, 1))})
+
+        return run
+
+    for ids, block in _blocks(df, key, vec, limit):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInPandas(against(shared), f"`{key}` long, v array<double>, near array<double>")
+        if len(ids) == limit:  # more may follow
+            out = _cut(out)
+            shared.destroy()
+    return out.select(key, F.get("near", F.lit(k - 1)).alias("kth"))
 
 
 def auto_eps(df: DataFrame, key: str, vec: str, k: int, pct: float = 0.85) -> DataFrame:
@@ -170,14 +201,23 @@ SAMPLE_ROWS = 5000
 
 
 def _sampled(df: DataFrame, key: str, vec: str, run, limit: int) -> DataFrame:
+    """key and cluster of every row. Up to limit rows are clustered exactly; of a larger table the limit rows of smallest
+    key hash are, and every other row takes the cluster of the sampled row nearest to it."""
     small = df.select(F.col(key).cast("long").alias("key"), V.doubles(F.col(vec)).alias("v"))
-    if small.limit(limit + 1).count() > limit:
-        raise ValueError(f"exact hierarchical clustering is for samples of up to {limit} rows; use bisecting")
-    return small.groupBy().applyInPandas(run, "key long, cluster int").withColumnRenamed("key", key)
+    fit = lambda rows: rows.groupBy().applyInPandas(run, "key long, cluster int")
+    if small.limit(limit + 1).count() <= limit:
+        return fit(small).withColumnRenamed("key", key)
+    small = _cut(small)
+    sample = _cut(small.orderBy(F.xxhash64("key"), "key").limit(limit))
+    got = _cut(fit(sample))
+    rest = nearest_code(small.join(F.broadcast(got), "key", "left_anti"), "v", sample, "key", "v").select("key", "code")
+    rest = rest.join(F.broadcast(got.withColumnRenamed("key", "code")), "code").select("key", "cluster")
+    return got.union(rest).withColumnRenamed("key", key)
 
 
 def ward(df: DataFrame, key: str, vec: str, k: int, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """Ward's agglomerative clustering of a bounded sample, by nearest-neighbour chains of cluster means."""
+    """Ward's agglomerative clustering, by nearest-neighbour chains of cluster means; over limit rows that of a sample, with
+    the other rows assigned to it."""
 
     def run(pdf):
         pdf = pdf.sort_values("key").reset_index(drop=True)
@@ -223,8 +263,8 @@ def ward(df: DataFrame, key: str, vec: str, k: int, limit: int = SAMPLE_ROWS) ->
 
 
 def hdbscan(df: DataFrame, key: str, vec: str, min_cluster: int, min_samples: int, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """Density hierarchy of a bounded sample: mutual reachability, spanning tree, condensed tree, most stable clusters;
-    -1 is noise."""
+    """Density hierarchy: mutual reachability, spanning tree, condensed tree, most stable clusters; -1 is noise. Over limit
+    rows it is that of a sample, with the other rows assigned to it."""
 
     def run(pdf):
         pdf = pdf.sort_values("key").reset_index(drop=True)

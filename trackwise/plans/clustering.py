@@ -16,7 +16,8 @@ def parameters(n: int, n_categories: int, dims: int) -> dict:
 
 
 def cluster_all(df: DataFrame, key: str, image: str, text: str, category: str, text_weight: float = 1.5) -> dict[str, DataFrame]:
-    """key and cluster by method. DBSCAN and HDBSCAN are exact and refuse more rows than their samples may have."""
+    """key and cluster by method. DBSCAN is exact; HDBSCAN is over a sample above its limit of rows, the
+    others being assigned to it."""
     fused = df.select(key, category, V.fuse_each(F.col(image), F.col(text), text_weight).alias("v"))
     first = fused.select(F.size("v").alias("d")).first()
     p = parameters(fused.count(), fused.select(category).distinct().count(), first["d"] if first else 51)
