@@ -2,38 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackwise.scratch import Scratch
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the folder that the cluster names in spark.checkpoint.dir."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='trackwise-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cuts lineage with a table in the shared folder."""
+    return Scratch(df.sparkSession).put(df, "cut")
 
 
 def min_label_components(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by, node, label for the nodes of edges by, a, b: the smallest node that can be reached. Labels travel along edges
     and along themselves, so long chains take few rounds; each round shuffles small rows with partial minima."""
     by = by or []
-    e = _cut(edges.select(*by, "a", "b").union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _cut(e.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")))
+    scratch = Scratch(edges.sparkSession)
+    e = scratch.put(edges.select(*by, "a", "b").union(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = scratch.put(e.groupBy(*by, F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "label")
     while True:
         near = e.join(label.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = label.join(near, [*by, "node"], "left").select(*by, "node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         up = label.select(*by, F.col("node").alias("label"), F.col("label").alias("up"))
-        new = _cut(step.join(up, [*by, "label"], "left").select(*by, "node", F.least("label", "up").alias("label"), "was"))
+        old = scratch.paths["label"]
+        new = scratch.put(step.join(up, [*by, "label"], "left").select(*by, "node", F.least("label", "up").alias("label"), "was"), "label")
+        scratch.paths["old"] = old
+        scratch.drop("old")
         label = new.select(*by, "node", "label")
         if not new.where(F.col("label") != F.col("was")).limit(1).count():
+            scratch.drop("edges")
             return label
