@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from trackwise.llm import decontaminate, html_text, kernels, language_id, licenses, mixing, near_dedup, pii, quality, substring_dedup, toxicity
+from trackwise.llm import common, decontaminate, html_text, kernels, language_id, licenses, mixing, near_dedup, pii, quality, substring_dedup, toxicity
 
 COLS = "doc_id long, text string, lang string, source string, n_words string, regs string, h string"
 RNG = random.Random(5)
@@ -139,7 +139,7 @@ def test_leaks_of_short_and_changed_items(spark):
 def test_surrogates(spark):
     a, b = "bob.smith_9@mail3.example.com", "4111 1111 1111 1111"
     docs = [(1, f"Write to {a} or Bob.Smith_9@Mail3.Example.com."), (2, f"again {a}; card {b} or 4111111111111111, +1 (830) 555-5433."), (3, None), (4, ""), (None, "plain"), (5, "Mrs Clara Smith and Mr. Adam Smith at 10.1.22.254"), (5, "DE89 3704 0044 0532 0130 00")]
-    rows = pii.replace_pii(table(spark, docs), count="n").collect()
+    rows = pii.replace_pii(table(spark, docs), "key", count="n").collect()
     out = {}
     for r in rows:
         out.setdefault(r.doc_id, []).append(r.text)
@@ -157,7 +157,7 @@ def test_surrogates(spark):
     iban = five[0].replace(" ", "")
     number = "".join(str(int(c, 36)) for c in iban[4:] + iban[:4])
     assert int(number) % 97 == 1 and iban != "DE89370400440532013000"
-    assert pii.replace_pii(table(spark, [])).count() == 0
+    assert pii.replace_pii(table(spark, []), "key").count() == 0
 
 
 def test_surrogates_stay_distinct(spark, monkeypatch):
@@ -165,10 +165,57 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     real = pii.surrogate
     monkeypatch.setattr(pii, "surrogate", lambda kind, c, tries, key: F.when(kind == "ssn", F.concat(F.lit("00000000"), F.pmod(F.xxhash64(c, tries), F.lit(9)).cast("string"))).otherwise(real(kind, c, tries, key)))
     docs = [(i, f"x 123-45-678{i} y") for i in range(6)] + [(9, "x 123-45-6780 z")]
-    got = {r.doc_id: r.text.split()[1] for r in pii.replace_pii(table(spark, docs)).collect()}
+    got = {r.doc_id: r.text.split()[1] for r in pii.replace_pii(table(spark, docs), "key").collect()}
     assert got[9] == got[0] and len({v for k, v in got.items() if k != 9}) == 6
 
 
+def _skeleton(text):
+    """Digits, letters by script and case, and all else as it is."""
+    import unicodedata
+
+    return [("9" if c.isdigit() else (unicodedata.name(c).split()[0], c.isupper()) if c.isalpha() else c) for c in text]
+
+
+def test_surrogates_of_every_script_and_symbol(spark):
+    """Entities whose places are known: nothing else changes, types and formats stay, equal ones stay equal, different ones
+    different, no surrogate is an original."""
+    r = random.Random(8)
+    letters = {"latin": "abcdefgh", "cyrillic": "абвгдежз", "armenian": "աբգդեզէը", "hebrew": "אבגדהוזח", "arabic": "بتثجحخدذ", "han": "用户例子中国文字", "deva": "कखगघचछजझ", "hangul": "가나다라마바사아"}
+    made = ["password: ********", "password=$$$$$$", "secret: %%%%%%%", "password: " + "ab9!" * 2000]
+    for a in letters.values():
+        made += [f"{''.join(r.choices(a, k=6))}.{''.join(r.choices(a, k=3))}@{''.join(r.choices(a, k=5))}.com" for _ in range(6)]
+    made += [f"{r.randrange(100, 999)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}" for _ in range(6)] + [f"{r.randrange(1, 255)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(1, 255)}" for _ in range(6)]
+    made += [f"Dr {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "-'"] + ["Frau Анна Иванова", "Mr Աբգդ", "用户@例子.中国"]
+    docs = [(i, f"x {e} y") for i, e in enumerate(made)] + [(1000 + i, f"again, {e} !") for i, e in enumerate(made)] + [(None, f"x {made[0]} y"), (5000, "a." * 200_000 + "b"), (5001, None)]
+    got = {}
+    for row in pii.replace_pii(table(spark, docs), "key").collect():
+        got[row.doc_id] = row.text
+    assert got[5000] == "a." * 200_000 + "b" and got[5001] is None and got[None] == got[0]
+    new = [got[i][2:-2] for i in range(len(made))]
+    for i, (e, n) in enumerate(zip(made, new, strict=True)):
+        assert got[i] == f"x {n} y" and got[1000 + i] == f"again, {n} !" and n != e, (e, got[i])
+        if "password" in e or "secret" in e:
+            assert len(n) == len(e) and n.split(maxsplit=1)[0][:6] == e.split(maxsplit=1)[0][:6]
+        elif len(e) > 5 and "." not in e[:4] and "Анна" not in e:
+            assert _skeleton(n) == _skeleton(e), (e, n)
+    assert len({n.lower() for n in new}) == len(made) and not {n.lower() for n in new} & {e.lower() for e in made}
+    other = {row.doc_id: row.text for row in pii.replace_pii(table(spark, docs), "other").collect()}
+    assert sum(other[i] != got[i] for i in range(len(made))) > len(made) - 5
+    with pytest.raises(ValueError):
+        pii.replace_pii(table(spark, docs), "")
+
+
+def test_no_entity_is_left_readable_in_scratch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("trackwise.scratch.shared_dir", lambda _: f"file://{tmp_path}")
+    docs = [(i, f"x 123-45-678{i} and Anna Rosenblatt y") for i in range(6)]
+    monkeypatch.setattr(common.Scratch, "drop", lambda *_: None)
+    with common.released():
+        pii.replace_pii(table(spark, docs), "key").collect()
+        held = [p.read_bytes() for p in tmp_path.rglob("*.parquet")]
+        assert held and not any(x in b for b in held for x in (b"rosenblatt", b"Rosenblatt", b"123456780"))
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_mixing(spark):
     r = random.Random(4)
     rows = [(i, prose(r.randrange(1, 30), i), "en", s, "", "", "") for i, s in enumerate(["a"] * 700 + ["b"] * 90 + [None] * 150 + ["c"] * 60)] + [(5000, None, "en", "a", "", "", ""), (5001, "", "en", "zero", "", "", "")]

@@ -2,49 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackwise.scratch import Scratch, released, shared_dir
+
+__all__ = ["SPACE", "WORD", "Scratch", "fresh", "held_out", "let", "released", "shared_dir", "words"]
+
 #: White space that separates words, as a Java and Python character class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        got = f"file://{tempfile.mkdtemp(prefix='trackwise-')}"
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes those that nothing reads any more."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths, self.made = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}, 0
-
-    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{name}-{self.made}"
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(conf).delete(path, True)
-
-
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have, so that extra columns can't clash."""
     have = {c.lower() for c in df.columns}

@@ -8,7 +8,7 @@ from . import decontaminate, html_text, language_id, licenses, mixing, near_dedu
 
 
 def op1_keyed_surrogates(spark, sf_dir):
-    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_secret(spark), count="n_entities")
 
 
 def op2_lpf_repeats(spark, sf_dir):
