@@ -10,7 +10,7 @@ from trackwise.llm.common import Scratch
 from trackwise.llm.decontaminate import drop_leaks
 from trackwise.llm.mixing import mix
 from trackwise.llm.near_dedup import drop_near_duplicates
-from trackwise.llm.pii import replace_pii
+from trackwise.llm.pii import replace_pii, session_secret
 from trackwise.llm.quality import reject_low_quality
 
 
@@ -27,7 +27,7 @@ def decontamination(spark, docs, sf_dir):
 
 
 def personal_data(spark, docs, sf_dir):
-    return replace_pii(docs)
+    return replace_pii(docs, session_secret(spark))
 
 
 def mixing(spark, docs, sf_dir):
