@@ -346,7 +346,7 @@ def test_page_text_without_article():
 
 
 def test_licences(spark):
-    docs = [(1, prose(30, 1) + "\nReleased under the MIT License.\n" + prose(9, 2)), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (5, "A license to drive, they said."), (6, licenses.TEMPLATES[2][1].replace("copy", "duplicate", 1))]
+    docs = [(1, prose(30, 1) + "\nReleased under the MIT License.\n" + prose(9, 2)), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (5, "A license to drive, they said."), (6, licenses.TEMPLATES[3][1].replace("copy", "duplicate", 1))]
     got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, docs)).collect()}
     assert got == {(1, "MIT"), (2, "GPL-3.0"), (6, "MIT")}
     assert licenses.scan(table(spark, [])).count() == 0
@@ -362,13 +362,44 @@ def test_licences_on_the_threshold(spark):
 
 
 def test_licences_over_line_breaks(spark):
-    docs = [(1, "Some words here about it. Released under the\nMIT License. More words follow after that."), (2, "All rights\nreserved."), (3, "All  rights  reserved."), (4, "Under CC BY 4.0"), (5, "Heading\nReleased under the MIT License. More words follow after that."), (6, licenses.TEMPLATES[2][1].replace("ermission", "ermit").replace("sublicense", "lend"))]
+    docs = [(1, "Some words here about it. Released under the\nMIT License. More words follow after that."), (2, "All rights\nreserved."), (3, "All  rights  reserved."), (4, "Under CC BY 4.0"), (5, "Heading\nReleased under the MIT License. More words follow after that."), (6, licenses.TEMPLATES[3][1].replace("ermission", "ermit").replace("sublicense", "lend"))]
     got = {(r.doc_id, r.license): r.unit for r in licenses.scan(table(spark, docs)).collect()}
     assert set(got) == {(1, "MIT"), (2, "proprietary"), (3, "proprietary"), (4, "CC-BY-4.0"), (5, "MIT"), (6, "MIT")}
     assert got[1, "MIT"] == "Released under the\nMIT License." and got[5, "MIT"] == "Released under the MIT License."
     assert licenses._hinted(licenses.DICE) and not licenses._hinted(0.2)
 
 
+def test_licences_are_told_apart_by_name_and_version(spark):
+    long = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    notices = [("program", "General Public", "2", "GPL-2.0"), ("program", "General Public", "3", "GPL-3.0"), ("library", "Lesser General Public", "2.1", "LGPL-2.1"), ("library", "Lesser General Public", "3", "LGPL-3.0"), ("program", "Affero General Public", "3", "AGPL-3.0"), ("library", "Library General Public", "2", None), ("program", "General Public", "1", None)]
+    docs = [(k, f"/* {prose(8, k)}.\n\n" + long.format(*n[:3]).replace(" the ", "\nthe ", 2) + "\n\nThe end.") for k, n in enumerate(notices)]
+    want = {(k, n[3]) for k, n in enumerate(notices) if n[3]}
+    for k, (name, body) in enumerate(licenses.TEMPLATES):
+        docs.append((100 + k, f"{prose(9, k)}\n\n{body}\n\n{prose(9, k + 50)}"))
+        want.add((100 + k, name))
+    bsd = "Copyright (c) 2020 X. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n\n"
+    docs += [(500, bsd), (501, bsd + "3. " + licenses.TEMPLATES[[n for n, _ in licenses.TEMPLATES].index("BSD-3-Clause") + 1][1]), (502, "Licensed under CC BY 3.0."), (503, "x" * 3_000_000), (None, "Licensed under the MIT License.")]
+    want |= {(500, "BSD-2-Clause"), (500, "proprietary"), (501, "BSD-3-Clause"), (501, "proprietary"), (None, "MIT")}
+    got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, docs)).collect()}
+    assert got == want, (got - want, want - got)
+
+
+def test_sql_of_licences_and_leaks(spark):
+    import duckdb
+
+    items = [(0, prose(40, 21)), (1, prose(20, 22)), (2, "alpha beta gamma delta"), (3, ""), (4, prose(3, 9) * 6)]
+    w = items[0][1].split()
+    docs = [(k, " ".join(r.choice(VOCAB) if r.random() < p else x for x in w) + " " + prose(20, k)) for k in range(60) for r in [random.Random(k)] for p in [k / 150]] + [(100, items[4][1] + " alpha beta gamma delta"), (101, None), (102, "Licensed under the MIT License.\n\nAll rights reserved")]
+    con = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        con.execute(f"create table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    df, bench = table(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.leaks(df, bench).collect())) == sorted(con.execute(decontaminate.oracle()).fetchall())
+    scan = "select doc_id, license, dice, unit from (" + licenses.oracle() + ")"
+    assert sorted(map(tuple, licenses.scan(df).collect())) == sorted(con.execute(scan).fetchall())
+
+
 def test_word_hashes_tell_words_apart():
     import pyarrow as pa
 

@@ -2,7 +2,7 @@
 
 Tokens are lower-cased runs of letters and digits. A mask names the positions of a short window that count; the ones it
 leaves out may differ. Hashes of all benchmark windows under all masks are joined with those of all document windows. Two
-fixed-size bit sets made from the benchmark (``SLOTS`` slots each, whatever its size) drop nearly all document windows
+bit sets made from the benchmark (eight slots a hash, between ``SLOTS`` and ``MOST_SLOTS``) drop nearly all document windows
 before the join; they have no false negatives. A hit names a diagonal: item, document and the difference of positions.
 On each diagonal the tokens are compared one by one, and a stretch of ``SPAN`` tokens (the item's length if shorter) with
 at least ``SAME`` of them equal is a leak.
@@ -13,8 +13,9 @@ searched with only if the benchmark has such items.
 
 Defined results: null or empty texts on either side have no tokens and match nothing; items shorter than ``SPAN`` are
 compared over their own length, those of up to 3 tokens whole; ties go to the longest match, then the smallest position;
-repeated rows are reported once per id; a null id is reported as null; empty tables give an empty result. Only the id and
-text columns are read.
+repeated rows are reported once per id; a null id is reported as null; texts of any length are read whole, and the
+diagonals kept for one of them and an item are at most as many as both have tokens; empty tables give an empty result. Only
+the id and text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ MASKS = {
     12: ["11101", "10111"],
     13: ["111011", "1101011", "1100001011"],
 }
-SLOTS = 1 << 19
+SLOTS, MOST_SLOTS = 1 << 19, 1 << 22
 POS_BITS = 30
 SPAN, SAME = 13, 0.75
 
@@ -61,21 +62,22 @@ def _key(x: Column) -> Column:
     return F.shiftrightunsigned(x, POS_BITS)
 
 
-def _slot(key: Column, which: int) -> Column:
-    return F.pmod(key if which == 0 else F.shiftright(key, 7), F.lit(SLOTS if which == 0 else SLOTS - 3)).cast("int")
+def _slot(key: Column, which: int, slots: int) -> Column:
+    return F.pmod(key if which == 0 else F.shiftright(key, 7), F.lit(slots if which == 0 else slots - 3)).cast("int")
 
 
-def _bits(keys: DataFrame, which: int) -> Column:
-    """An array literal of SLOTS bits, 32 in an element, set at the slots of keys. The driver reads distinct slots, SLOTS
-    at most, however large the benchmark."""
-    cells = [0] * (SLOTS // 32)
-    for (slot,) in keys.select(_slot(F.col("key"), which)).distinct().collect():
-        cells[slot >> 5] |= 1 << (slot & 31)
-    return F.expr("array(" + ",".join(f"{c}L" for c in cells) + ")")
+def _bits(keys: DataFrame, which: int, slots: int) -> Column:
+    """An array literal of bits, 64 in an element, set at the slots of keys. The driver reads slots / 64 numbers at most,
+    however large the benchmark."""
+    slot = _slot(F.col("key"), which, slots)
+    cells = [0] * (slots // 64)
+    for cell, bits in keys.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63))))).collect():
+        cells[cell] = bits
+    return F.expr("array(" + ",".join(f"{c}L" if c > -(1 << 63) else "bigint('-9223372036854775808')" for c in cells) + ")")
 
 
 def _has(bits: Column, slot: Column) -> Column:
-    return F.call_function("shiftright", F.get(bits, F.shiftright(slot, 5)), slot.bitwiseAND(F.lit(31))).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.call_function("shiftright", F.get(bits, F.shiftright(slot, 6)), slot.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -105,9 +107,10 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str
     ikeys = scratch.put(ikeys.select("item_id", _key(F.col("x")).alias("key"), F.col("x").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("ipos")), "keys")
     lean = docs.select(docs[key].alias("doc_id"), _row(docs, key, text).alias("row"), docs[text].alias("t"))
     df = let(lean, "d", h=tokens(F.col("t")))
-    bits = [_bits(ikeys, w) for w in (0, 1)]
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << (8 * ikeys.count()).bit_length()))
+    bits = [_bits(ikeys, w, slots) for w in (0, 1)]
     df = let(df, "d", **{f"s{i}": _seeds(F.col("d__h"), m) for i, m in enumerate(masks)})
-    may = [F.filter(F.col(f"d__s{i}"), lambda x: _has(bits[0], _slot(_key(x), 0)) & _has(bits[1], _slot(_key(x), 1))) for i in range(len(masks))]
+    may = [F.filter(F.col(f"d__s{i}"), lambda x: _has(bits[0], _slot(_key(x), 0, slots)) & _has(bits[1], _slot(_key(x), 1, slots))) for i in range(len(masks))]
     seen = let(df, "d", may=F.concat(*may)).select("doc_id", "row", F.explode("d__may").alias("x"))
     seen = seen.select("doc_id", "row", _key(F.col("x")).alias("key"), F.col("x").bitwiseAND(F.lit((1 << POS_BITS) - 1)).alias("pos"))
     diag = seen.join(ikeys, "key").select("doc_id", "row", "item_id", (F.col("pos") - F.col("ipos")).cast("int").alias("diag")).distinct()
@@ -128,3 +131,16 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """The documents that leak no benchmark item, with their own columns."""
     bad = _leaks(docs, benchmark, key, text, item, item_text).select(F.col("doc_id").alias("__leak"), F.col("row").alias("__row")).distinct()
     return docs.join(bad, docs[key].eqNullSafe(bad["__leak"]) & _row(docs, key, text).eqNullSafe(bad["__row"]), "left_anti")
+
+
+def oracle(documents: str = "documents", benchmark: str = "benchmark") -> str:
+    """The same in DuckDB, without seeds: every diagonal on which an item and a document share enough tokens at all."""
+    return rf"""with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as h from {documents} where text is not null),
+  i as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') as h from {benchmark} where text is not null),
+  dt as (select doc_id, unnest(h) as w, unnest(range(len(h))) as pos from d),
+  it as (select item_id, len(h) as n, least(len(h), {SPAN}) as span, unnest(h) as w, unnest(range(len(h))) as pos from i),
+  same as (select doc_id, item_id, n, span, dt.pos - it.pos as diag, it.pos as ipos from dt join it on dt.w = it.w),
+  able as (select doc_id, item_id, n, span, diag, list(distinct ipos) as hits from same group by all having count(distinct ipos) >= ceil(span * {SAME})),
+  best as (select *, list_max(list_transform(range(n - span + 1), lambda a: len(list_filter(hits, lambda x: x >= a and x < a + span)))) as most from able)
+select doc_id, item_id, m.n_same::int as n_same, m.n_span::int as n_span, (-m.back)::int as doc_start from (
+  select doc_id, item_id, max({{'n_same': len(hits), 'back': -greatest(diag, 0), 'n_span': span}}) as m from best where most >= ceil(span * {SAME}) group by all)"""

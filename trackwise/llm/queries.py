@@ -66,4 +66,4 @@ select w.doc_id, coalesce(n.n, 0) as n_shingles, k.c as component_id, k.c = w.do
 
 def oracle_sql():
     """Where SQL can say it; the other operators are held against brute force in tests/llm."""
-    return {"op3_setsketch_dedup": OP3}
+    return {"op3_setsketch_dedup": OP3, "op4_spaced_seed_leaks": decontaminate.oracle(), "op6_license_dice": licenses.oracle()}
