@@ -345,6 +345,27 @@ def test_page_text_without_article():
     assert html_text.extract(f"<p>{long}</p>") == long
 
 
+def test_page_names_are_a_prior_only():
+    body = "\n".join(f"Paragraph {k} has some text, with commas, and more of that." for k in range(4))
+    html = "".join(f"<p>{x}</p>" for x in body.split("\n"))
+    assert html_text.extract(f'<body><div class="content has-sidebar"><div class="sidebar">Menu, links.</div><h1 class="article-header">T</h1>{html}</div></body>') == "T\n" + body
+    assert html_text.extract(f'<body><div class="widget"><article><h1>T</h1>{html}</article></div><div class="comments">{html * 3}</div></body>') == "T\n" + body
+    assert html_text.extract(f'<article><h1 class="article-header">T</h1><section class="discussion"><p class="notice">One, two.</p>{html}</section><div id="comment-list">{html}</div></article>') == "T\nOne, two.\n" + body
+    assert html_text.extract(f'<div class="sidebar">{html}</div>') == body
+    assert html_text.extract("<p title=don't>It isn't here, at all.</p><p>Second, one.</p>") == "It isn't here, at all.\nSecond, one."
+    assert html_text.extract(f'<p title="a > b" data-x=\'<p>\'>One, two.</p><svg><text>no</text></svg><noscript><p>No, not.</p></noscript>{html}') == "One, two.\n" + body
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    for page, want in (("<font>" * n + "hello, there", "hello, there"), ("<div>" * n + "hello, there" + "</p></b>" * n, "hello, there"), ("<b><div>" + "<i><font>" * n + "</b>" * n + "<li>x, y" * n, "\n".join(["x, y"] * n)), ("word, " * 1_000_000, "word, " * 999_999 + "word,"), ("<svg>" * n + "a, b", "")):
+        began = time.process_time()
+        assert html_text.extract(page) == want
+        assert time.process_time() - began < 15
+
+
 def test_licences(spark):
     docs = [(1, prose(30, 1) + "\nReleased under the MIT License.\n" + prose(9, 2)), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (5, "A license to drive, they said."), (6, licenses.TEMPLATES[3][1].replace("copy", "duplicate", 1))]
     got = {(r.doc_id, r.license) for r in licenses.scan(table(spark, docs)).collect()}
