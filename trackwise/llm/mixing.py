@@ -11,24 +11,27 @@ Targets: sources by code point, null last, weigh 3, 1, 2, repeating, and share 1
 twice its source's size and the excess is reshared by weight.
 
 Defined results: null or blank text has size 0 and is taken 0 words; a null source is a source of its own, the last; rows
-with a null id are dealt by their size; repeated rows are drawn one by one; an empty table gives an empty result; other
-columns are not read. Per-source tables have one row a source and at most ``MAX_BLOCKS`` a source and pass.
+with a null id are known by their text; repeated rows (same id, text and source) are drawn together; ties in a permuted
+order go to the smaller id; texts of any length count whole; an empty table gives an empty result; other columns are not
+read and keep their names and values, ``mix`` names its own after them. Per-source tables have one row a source and at most
+``MAX_BLOCKS`` a source and pass; the tree splits the quotas of some ``GROUP`` sources at a time, so its numbers stay far
+below numpy's bound of 10^9 and its memory doesn't grow with the number of sources.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, words
+from .common import Scratch, fresh, words
 
 SEED = 20240229
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, TOP = 1.5, 2.0
 BLOCK_ROWS, MAX_BLOCKS = 256, 1 << 16
-SHARDS = 32
+SHARDS, GROUP = 32, 1024
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -68,39 +71,44 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
 
 
 def _ranges(shards: int, seed: int):
-    def run(frames):
-        frames = [f for f in frames if len(f)]
-        if not frames:
-            return
-        q = pd.concat(frames).sort_values("sk").reset_index(drop=True)
-        ends = split_quotas(q["quota"].to_numpy(), shards, seed).cumsum(1)
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        q = frame.sort_values("sk").reset_index(drop=True)
+        ends = split_quotas(q["quota"].to_numpy(), shards, seed + int(key[0])).cumsum(1)
         starts = np.concatenate([np.zeros((len(q), 1), np.int64), ends[:, :-1]], 1)
         s, k = np.nonzero(ends > starts)
-        yield pd.DataFrame({"sk": q["sk"].to_numpy()[s], "shard": k.astype(np.int32), "lo": starts[s, k], "hi": ends[s, k]})
+        return pd.DataFrame({"sk": q["sk"].to_numpy()[s], "shard": k.astype(np.int32), "lo": starts[s, k], "hi": ends[s, k]})
 
     return run
 
 
 def _draw(frame: pd.DataFrame) -> pd.DataFrame:
-    """The documents of a source's last block that its rest takes, in permuted order."""
-    frame = frame.sort_values(["ord", "doc_id", "size"], na_position="last").reset_index(drop=True)
+    """The documents of a source's last block that its rest takes, in permuted order, repeated rows together."""
+    frame = frame.sort_values(["ord", "doc_id", "mark"], na_position="last").reset_index(drop=True)
+    ids = frame["doc_id"].astype("float64").fillna(-1) if frame["doc_id"].isna().any() else frame["doc_id"]
+    first = (ids != ids.shift()) | (frame["mark"] != frame["mark"].shift()) | (frame["doc_id"].isna() != frame["doc_id"].isna().shift())
+    unit = first.cumsum().to_numpy() - 1
+    sizes = np.bincount(unit, frame["size"].to_numpy())
     need, got = float(frame["need"].iloc[0]), 0.0
-    chosen = np.zeros(len(frame), bool)
-    for i, x in enumerate(frame["size"]):
+    chosen = np.zeros(len(sizes), bool)
+    for i, x in enumerate(sizes):
         if got + x <= need:
             chosen[i] = True
             got += x
-    rest = frame.loc[~chosen, "size"]
-    if len(rest) and need - got > abs(got + rest.min() - need):
-        chosen[rest.idxmin()] = True
-    return frame.assign(chosen=chosen)[["doc_id", "mark", "sk", "size", "block", "chosen"]]
+    rest = np.flatnonzero(~chosen)
+    if len(rest):
+        least = rest[sizes[rest].argmin()]
+        chosen[least] = need - got > abs(got + sizes[least] - need)
+    return frame.assign(chosen=chosen[unit])[["doc_id", "mark", "sk", "size", "block", "chosen"]]
+
+
+def _source_key(docs: DataFrame, source: str) -> Column:
+    return F.coalesce(F.concat(F.lit("a"), docs[source].cast("string")), F.lit("n"))
 
 
 def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """doc_id, mark (a hash of the text), size, source_size, target, copies, taken and shards (the shard of each copy)."""
+    """doc_id, mark (a hash of the text), sk (the source's key), size, source_size, target, copies, taken and shards (the shard of each copy)."""
     scratch = Scratch(docs.sparkSession)
-    sk = F.coalesce(F.concat(F.lit("a"), docs[source].cast("string")), F.lit("n"))
-    rows = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), sk.alias("sk"), F.size(words(docs[text])).cast("long").alias("size"))
+    rows = docs.select(docs[key].alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), _source_key(docs, source).alias("sk"), F.size(words(docs[text])).cast("long").alias("size"))
     rows = scratch.put(rows, "rows")
     src = targets(rows).withColumn("passes", F.when(F.col("words") > 0, F.floor(F.col("target") / F.col("words"))).otherwise(0).cast("int"))
     src = src.withColumn("need", F.col("target") - F.col("passes") * F.col("words"))
@@ -116,7 +124,9 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     # The quota of a source: its block copies. Their permuted order, and the shards that the tree gives them.
     copies = per.withColumn("n", F.col("passes") + (F.col("whole") | F.col("part")).cast("int")).where("n > 0").select("sk", "block", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("pass"))
     copies = scratch.put(copies.withColumn("rank", F.row_number().over(Window.partitionBy("sk").orderBy(F.xxhash64(F.lit(seed + 2), "sk", "block", "pass"), "block", "pass")) - 1), "copies")
-    ranges = copies.groupBy("sk").agg(F.count("*").alias("quota")).coalesce(1).mapInPandas(_ranges(shards, seed), "sk string, shard int, lo long, hi long")
+    quotas = copies.groupBy("sk").agg(F.count("*").alias("quota"))
+    groups = max(1, -(-src.count() // GROUP))
+    ranges = quotas.groupBy(F.pmod(F.xxhash64("sk"), F.lit(groups)).alias("g")).applyInPandas(_ranges(shards, seed), "sk string, shard int, lo long, hi long")
     dealt = copies.join(ranges, ["sk"]).where("rank >= lo and rank < hi").groupBy("sk", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
     plan = per.join(dealt, ["sk", "block"], "left").select("sk", "block", "whole", "part", "left", F.coalesce(F.transform("dealt", lambda x: x.shard), F.array().cast("array<int>")).alias("shards"))
     plan = scratch.put(plan, "plan")
@@ -124,15 +134,17 @@ def mixture(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     last = rows.where("part").select("doc_id", "mark", "sk", "size", "block", F.col("left").cast("double").alias("need"), F.xxhash64(F.lit(seed + 3), "doc_id", "mark").alias("ord"))
     drawn = last.groupBy("sk", "block").applyInPandas(_draw, "doc_id long, mark long, sk string, size long, block long, chosen boolean")
     drawn = drawn.join(src.select("sk", "words", "target", "passes"), "sk").join(plan.select("sk", "block", "shards"), ["sk", "block"])
-    cols = ["doc_id", "mark", "size", "words", "target", "shards"]
+    cols = ["doc_id", "mark", "sk", "size", "words", "target", "shards"]
     out = rows.where("not part").select(*cols, (F.col("passes") + F.col("whole").cast("int")).alias("copies")).unionByName(drawn.select(*cols, (F.col("passes") + F.col("chosen").cast("int")).alias("copies")))
-    return out.select("doc_id", "mark", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.slice("shards", F.lit(1), F.col("copies")).alias("shards"))
+    return out.select("doc_id", "mark", "sk", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), F.slice("shards", F.lit(1), F.col("copies")).alias("shards"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: docs' columns and mix_shard, mix_order; a document appears once for each copy taken. Sorting each
-    shard by mix_order is its local shuffle; write with partitionBy("mix_shard")."""
-    plan = mixture(docs, key, text, source, shards, seed).where("copies > 0").dropDuplicates(["doc_id", "mark"])
-    plan = plan.select(F.col("doc_id").alias("__mix_i"), F.col("mark").alias("__mix_m"), F.posexplode("shards").alias("__mix_p", "mix_shard"))
-    out = docs.drop("mix_shard", "mix_order").join(plan, docs[key].eqNullSafe(plan["__mix_i"]) & (F.xxhash64(docs[text]) == plan["__mix_m"]))
-    return out.withColumn("mix_order", F.xxhash64(F.lit(seed + 4), "mix_shard", "__mix_i", "__mix_p")).drop("__mix_i", "__mix_m", "__mix_p")
+    """The mix itself: docs' columns and mix_shard, mix_order (with underscores added where docs has such columns); a
+    document appears once for each copy taken. Sorting each shard by mix_order is its local shuffle; write with
+    partitionBy("mix_shard")."""
+    shard, order, name = fresh(docs, "mix_shard"), fresh(docs, "mix_order"), fresh(docs, "__mix")
+    plan = mixture(docs, key, text, source, shards, seed).where("copies > 0").dropDuplicates(["doc_id", "mark", "sk"])
+    plan = plan.select(F.col("doc_id").alias(f"{name}_i"), F.col("mark").alias(f"{name}_m"), F.col("sk").alias(f"{name}_s"), F.posexplode("shards").alias(f"{name}_p", shard))
+    out = docs.join(plan, docs[key].eqNullSafe(plan[f"{name}_i"]) & (F.xxhash64(docs[text]) == plan[f"{name}_m"]) & (_source_key(docs, source) == plan[f"{name}_s"]))
+    return out.withColumn(order, F.xxhash64(F.lit(seed + 4), shard, f"{name}_i", f"{name}_m", f"{name}_p")).drop(*[f"{name}_{x}" for x in "imsp"])
