@@ -34,5 +34,5 @@ def words(text: Column) -> Column:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that no model may learn labels from."""
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
+    """Rows that no model may learn labels from; a null id isn't one."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))

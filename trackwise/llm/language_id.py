@@ -5,12 +5,14 @@ method C (a context's escape weighs as many as it has distinct successors), unif
 length in each language is the sum over all of its bytes; the shortest wins. For speed the cost of every 4-byte string
 seen in training, in every language, is worked out beforehand; other strings walk down the escapes.
 
-Models learn from at most ``PER_LANGUAGE`` distinct texts of each language, those with the smallest hashes, and never from
-held-out rows. ``MAX_LANGUAGES`` bounds what is broadcast.
+Models learn from at most ``PER_LANGUAGE`` distinct texts of each language in a pseudo-random order of their hashes, as
+many as fit into the language's share of ``MAX_BYTES``, and never from held-out rows. ``MAX_BYTES`` and ``MAX_LANGUAGES``
+bound what the driver reads and what is broadcast.
 
 Defined results: null text or text without a letter is ``und`` with score 0; with nothing to learn from all are ``und``;
-repeated rows get the same answer; ties go to the first language by name; an empty table gives an empty result. The id,
-the source and the true language never enter a prediction.
+repeated rows get the same answer; ties go to the first language by name; a null id is not held out; texts of any length are
+scored whole, one that alone exceeds its language's share of bytes isn't learned from; an empty table gives an empty
+result. The id, the source and the true language never enter a prediction; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .kernels import _LOWER, slices, text_bytes
 
-PER_LANGUAGE, MAX_LANGUAGES = 400, 200
+PER_LANGUAGE, MAX_LANGUAGES, MAX_BYTES = 400, 200, 64 << 20
+#: How many times a sample's expected size is looked at, and the resolution of the share of hashes that is.
+SPARE, STEPS = 6, 1 << 20
 MULT = np.uint32(0x9E3779B1)
 
 
@@ -159,18 +163,23 @@ class Model:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Fits the models on the driver from a bounded sample of whole texts."""
-    rows = docs.select(docs[text].alias("t"), docs[lang].cast("string").alias("l"), held_out(docs[key]).alias("h")).where("t is not null and l is not null and not coalesce(h, false)")
-    rows = rows.select("l", "t", F.xxhash64("t").alias("x"))
-    few = rows.select("l", "x").distinct().withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("x"))).where(F.col("r") <= per_language)
-    edge = few.groupBy("l").agg(F.max("x").alias("edge"))
-    edges = edge.limit(MAX_LANGUAGES + 1).collect()
-    if len(edges) > MAX_LANGUAGES:
+    rows = docs.select(docs[text].alias("t"), docs[lang].cast("string").alias("l"), held_out(docs[key]).alias("h")).where("t is not null and l is not null and not h")
+    rows = rows.select("l", "t", F.xxhash64("t").alias("x"), F.octet_length("t").alias("n"))
+    counts = rows.groupBy("l").agg(F.approx_count_distinct("x").alias("texts")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES knowing that models are broadcast")
+    # The share of hashes that is looked at by language, so that no task ranks a language's texts all.
     ok = F.lit(False)
-    for e in edges:
-        ok = ok | ((F.col("l") == e["l"]) & (F.col("x") <= e["edge"]))
+    for r in counts:
+        ok = ok | ((F.col("l") == r["l"]) & (F.pmod("x", F.lit(STEPS)) < max(1, min(STEPS, SPARE * per_language * STEPS // max(1, r["texts"])))))
+    few, share = rows.where(ok), MAX_BYTES // max(1, len(counts))
+    order = Window.partitionBy("l").orderBy(F.pmod("x", F.lit(STEPS)), "x")
+    few = few.where(F.col("n") <= share).groupBy("l", "x").agg(F.max("n").alias("n")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    few = few.withColumn("b", F.sum("n").over(order)).where(F.col("b") <= share)
+    chosen = few.select(F.col("l").alias("fl"), F.col("x").alias("fx"))  # at most per_language rows a language
+    rows = rows.join(F.broadcast(chosen), (F.col("l") == F.col("fl")) & (F.col("x") == F.col("fx")))
     texts: dict[str, list[bytes]] = {}
-    for r in rows.where(ok).groupBy("l", "x").agg(F.min("t").alias("t")).orderBy("l", "x").toLocalIterator():
+    for r in rows.groupBy("l", "x").agg(F.min("t").alias("t")).orderBy("l", "x").toLocalIterator():
         texts.setdefault(r["l"], []).append(r["t"].encode())
     return Model(texts)
 
