@@ -239,6 +239,63 @@ def test_mixing(spark):
     assert {c.doc_id: c["count"] for c in copies} == {x.doc_id: x.copies for x in got if x.copies}
 
 
+def test_mix_of_repeated_rows_and_clashing_columns(spark):
+    """Equal rows get equal numbers of copies, as planned, and a caller's columns stay."""
+    cols = "doc_id long, text string, source string, mix_shard int, mix_order string"
+    rows = [(i // 2 if i < 100 else None, prose(10 + i // 2 % 7, i // 2), "ab"[i % 4 // 2] if i < 90 else None, -1, "mine") for i in range(120)]
+    df = spark.createDataFrame(rows, cols)
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "mix_shard_", "mix_order_"]
+    got = out.collect()
+    assert {(r.mix_shard, r.mix_order) for r in got} == {(-1, "mine")}
+    plan = mixing.mixture(df).collect()
+    assert sum(r.taken for r in plan) == sum(len(r.text.split()) for r in got)
+    by = {}
+    for r in plan:
+        by.setdefault((r.doc_id, r.mark, r.sk), set()).add(r.copies)
+    assert all(len(v) == 1 for v in by.values())
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    rows = [(i, prose(5 + i % 9, i), "en", f"s{i % 37}", "", "", "") for i in range(900)]
+    got = mixing.mixture(spark.createDataFrame(rows, COLS)).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(r[1].split())
+    want, taken = brute.water(sizes), {}
+    for r in got:
+        taken[r.sk[1:]] = taken.get(r.sk[1:], 0) + r.taken
+        assert len(r.shards) == r.copies
+    assert all(abs(taken[s] - want[s]) <= 15 for s in want)
+
+
+def test_merged_registers_are_those_of_the_union():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    a, b = (np.unique(r.integers(0, 2**63, 500).astype(np.uint64)) for _ in range(2))
+    b = np.concatenate([b, a[:200]])
+    both = np.union1d(a, b)
+    x, y, z = (near_dedup.registers(s, np.array([0, len(s)])) for s in (a, b, both))
+    assert (near_dedup.merge(x, y) == z).all()
+
+
+def test_samples_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_BYTES", 4000)
+    monkeypatch.setattr(toxicity, "MAX_BYTES", 40_000)
+    read = []
+    monkeypatch.setattr(language_id, "Model", lambda texts: read.append(texts) or texts)
+    rows = [(i, prose(20, i), "xy"[i % 2], "s", "", "", "") for i in range(300)] + [(900, "z" * 100_000, "x", "s", "", "", "")]
+    df = spark.createDataFrame(rows, COLS)
+    language_id.train(df)
+    assert set(read[0]) == {"x", "y"} and all(1000 < sum(map(len, v)) <= 2000 for v in read[0].values())
+    lab = spark.createDataFrame([(i, 1, i % 3 // 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    net = toxicity.train(df.union(df), lab)
+    assert net.platt is not None
+
+
 def test_splitting_tree():
     import numpy as np
 

@@ -9,7 +9,8 @@ components come out: no link between different texts is lost and no bucket emits
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; rows with a null id take no part
 and are kept; repeated rows are copies of each other and share component and fate; ties go to the smallest id; an empty
-table gives an empty result. Only the id and text columns are read; other columns can have any name.
+table gives an empty result; texts of any length are read whole, their sets in the memory of one task. Only the id and text
+columns are read; other columns can have any name.
 """
 
 from __future__ import annotations
@@ -42,6 +43,11 @@ def registers(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(B)), 0, TOP).astype(np.uint16)
 
 
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The registers of the union of two sets, from theirs: a smaller minimum is a larger register."""
+    return np.maximum(a, b)
+
+
 SKETCH = "doc_id long, n_shingles long, d0 long, d1 long, regs binary"
 
 

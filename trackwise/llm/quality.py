@@ -7,7 +7,8 @@ writes small features; references (one row per language, partial sums first) and
 
 Defined results: null, empty or blank text has zero words and fails the base rule; rows with a null language are compared
 with each other; without a reference only the base rule speaks; repeated rows are judged alike; an empty table gives an
-empty result; extra columns are untouched. Texts below ``min_words`` are left to the base rule (minimum-length guard).
+empty result; texts of any length are read whole (up to 2^30 words), a tie with a threshold passes; extra columns are
+untouched, whatever their names. Texts below ``min_words`` are left to the base rule (minimum-length guard).
 """
 
 from __future__ import annotations
