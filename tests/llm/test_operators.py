@@ -76,14 +76,44 @@ def test_repeated_passages(spark, texts):
     assert substring_dedup.repeated_passages(table(spark, [])).count() == 0
 
 
-def test_crowded_anchor_is_dealt_by_offset(spark, monkeypatch):
+def test_crowded_anchors(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CROWD", 3)
-    common = prose(30, 3)
-    rows = [(i, prose(20, 100 + i) + " " + common + " " + prose(20, 200 + i)) for i in range(30)]
+    monkeypatch.setattr(substring_dedup, "HOT", 2)
+    common, same = prose(30, 3), prose(12, 4)
+    rows = [(i, prose(20, 100 + i) + " " + (common if i % 2 else same + prose(9, 300 + i // 4)) + " " + prose(20, 200 + i)) for i in range(40)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.repeated_passages(table(spark, rows)).collect()}
     assert got == brute.repeats(rows)
 
 
+def test_longest_previous_factors():
+    """Against all pairs, on texts over few letters and on cut contexts."""
+    import numpy as np
+
+    r = random.Random(6)
+    for trial in range(20):
+        n = r.randrange(2, 60)
+        anchor = "".join(r.choice("ab") for _ in range(substring_dedup.GRAM)).encode()
+        lefts = ["".join(r.choice("ab") for _ in range(r.choice([3, 68]))).encode() for _ in range(4)]
+        rights = ["".join(r.choice("ab") for _ in range(r.choice([5, 40, 68]))).encode() for _ in range(4)]
+        rows = [(trial % 3 * (k % 2), k // 5, k % 5 * 300, r.choice(lefts)[r.randrange(3) :], r.choice(rights)) for k in range(n)]
+        r.shuffle(rows)
+        h, doc, pos = (np.array([x[k] for x in rows], np.int64) for k in range(3))
+        before, texts = np.array([len(x[3]) for x in rows]), [x[3] + anchor + x[4] for x in rows]
+        zero = np.zeros(n, np.int64)
+        got = {}
+        for d, at, factor in substring_dedup.longest_previous(h, zero, zero + substring_dedup.REACH, doc, pos, before, texts, least=1):
+            got |= {(i, d): f for i, f in zip(at.tolist(), factor.tolist(), strict=True)}
+        for i in range(n):
+            for d in range(min(before[i], substring_dedup.REACH) + 1):
+                want = 0
+                for j in range(n):
+                    if h[i] == h[j] and (doc[j], pos[j]) < (doc[i], pos[i]) and before[j] >= d and texts[i][before[i] - d : before[i]] == texts[j][before[j] - d : before[j]]:
+                        a, b = texts[i][before[i] :], texts[j][before[j] :]
+                        c = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+                        want = max(want, min(d + c, substring_dedup.LENGTH))
+                assert got.get((i, d), 0) == want, (trial, i, d)
+
+
 def test_quality(spark, texts):
     rows = [*texts, (30, "\n".join(["the same line of words here"] * 20)), (31, "a b c d a b c " + prose(60, 4)), (32, " ".join(["% $ #"] * 40))]
     got = {r.doc_id: r for r in quality.quality(table(spark, rows), ["doc_id"]).collect()}

@@ -2,22 +2,26 @@
 
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier: in a document with a smaller id, or
 earlier in the same one. That is so for the window at p exactly if the longest previous factor at p is LENGTH or more, and
-in suffix order (ties by position) that factor is the common prefix with the previous or next smaller position. To depth
-LENGTH, suffixes that share a window stand together in order of position, so the previous smaller position of all but the
-first of such a run is its left neighbour.
+in suffix order that factor is the longer of the common prefixes with the previous and the next smaller position.
 
-The order is never built for the whole corpus. Every window holds an anchor: a ``GRAM``-byte string whose hash is smallest
-among some SPAN neighbours, found by content alone, so equal windows hold equal anchors at equal places.
+The order is never built for the whole corpus at once. Every window holds an anchor: a ``GRAM``-byte string whose hash is
+smallest among some SPAN neighbours, found by content alone, so equal windows hold equal anchors at equal places, and the
+suffixes that can share LENGTH bytes stand in the order of one anchor's bucket.
 1. Anchors go by hash, each with a hash of its context (all bytes that a window around it can reach). An equal context
    with a smaller position removes the whole context. Repeats inside a task are settled there, so a passage in very many
-   documents sends one row a task.
-2. Where one anchor has several contexts, their first occurrences are compared window by window in suffix order, as above.
-   An anchor with very many contexts is dealt out by the window's offset, so no task gets all of it.
+   documents sends one row a task; an anchor with many contexts in a task is dealt out by context at once.
+2. Where one anchor has several contexts, the suffixes from the anchor are sorted, and the bytes before it backwards. For
+   each offset before the anchor that gives the order of the suffixes there: by the bytes before, then by the anchor's
+   order; common prefixes are range minima, previous and next smaller positions come by pointer jumping, and the longer
+   of the two common prefixes is the longest previous factor.
+   An anchor with more than ``CROWD`` contexts is made longer first: all windows of one half of the offsets share the bytes
+   before, all of the other half the bytes after it, so a context goes to two longer anchors, and on until the bucket
+   is small or the anchor is the window itself, whose smallest position is then all that counts.
 3. The intervals of each document are joined to it and cut out.
 
 Defined results: null text counts as empty; texts under LENGTH bytes lose nothing; rows with equal ids are the same
-document and share their cuts; rows with a null id come last in order, as one document; an empty table gives an empty
-result. Only id and text are read.
+document and share their cuts; rows with a null id come last in order, as one document; a document is read whole by one task,
+however long; an empty table gives an empty result. Only id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,8 +41,9 @@ SPAN = LENGTH - GRAM + 1  # neighbouring grams of a window
 REACH = LENGTH - GRAM  # bytes of context on either side
 LAST = 2**63 - 1  # stands for a null id
 WORK = 1 << 19
-#: Contexts of one anchor above which its windows are dealt out by offset.
-CROWD = 20_000
+#: Contexts of one anchor above which it is made longer; and contexts of one anchor in a slice of a task above which they
+#: are dealt out by context, and over how many parts.
+CROWD, HOT, PARTS = 20_000, 32, 256
 TOP = U(2**64 - 1)
 
 
@@ -93,12 +98,43 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray):
     return doc[i], s[i], np.append(e[i[1:] - 1], e[-1])
 
 
-SENT = "h long, ctx long, doc long, pos int, upto int"
+SENT = "h long, part int, ctx long, doc long, pos int, upto int"
+
+
+class _Least:
+    """The smallest position of every key so far, in sorted runs of doubling size."""
+
+    def __init__(self):
+        self.runs: list = []
+
+    def find(self, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray):
+        """The smaller of the positions given and those held, for each key."""
+        for held, d, p in self.runs:
+            at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+            less = (held[at] == keys) & ((d[at] < doc) | ((d[at] == doc) & (p[at] < pos)))
+            doc, pos = np.where(less, d[at], doc), np.where(less, p[at], pos)
+        return doc, pos
+
+    def add(self, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> None:
+        """Sorted distinct keys."""
+        run = (keys, doc, pos)
+        while self.runs and len(self.runs[-1][0]) <= 2 * len(run[0]):
+            k, d, p = (np.concatenate(x) for x in zip(self.runs.pop(), run, strict=True))
+            o = np.lexsort((p, d, k))
+            keep = np.ones(len(k), bool)
+            keep[1:] = k[o][1:] != k[o][:-1]
+            o = o[keep]
+            run = (k[o], d[o], p[o])
+        self.runs.append(run)
+
+
+#: upto of an anchor's row, and of a row that says that an anchor has further contexts in other parts.
+ANCHOR, OTHERS = -1, -2
 
 
 def _send(batches):
-    """Anchors (upto is -1) that are first in this task for their context, and intervals (upto is their end) for others."""
-    keys, least = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+    """Anchors that are first in this task for their context, and intervals (upto is their end) for others."""
+    least = _Least()
     for batch in batches:
         ids = batch.column(0).to_numpy()
         data, offsets = text_bytes(batch.column(1))
@@ -117,132 +153,229 @@ def _send(batches):
             k, d, q = key[order], doc[order], p[order]
             new = np.ones(len(k), bool)
             new[1:] = k[1:] != k[:-1]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
-            bd, bq = d[head], q[head]
-            where = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-            if len(keys):
-                old = (keys[where] == k) & ((least[where, 0] < bd) | ((least[where, 0] == bd) & (least[where, 1] < bq)))
-                bd, bq = np.where(old, least[where, 0], bd), np.where(old, least[where, 1], bq)
-            later = (bd < d) | ((bd == d) & (bq < q))
-            out = np.empty(len(k), bool)
-            out[order] = later
             first = np.flatnonzero(new)
-            both, mins = np.concatenate([keys, k[first]]), np.concatenate([least, np.stack([bd[first], bq[first]], 1)])
-            o = np.lexsort((mins[:, 1], mins[:, 0], both))
-            both, mins = both[o], mins[o]
-            keep = np.ones(len(both), bool)
-            keep[1:] = both[1:] != both[:-1]
-            keys, least = both[keep], mins[keep]
-            yield _rows(h[~out].view(np.int64), ctx[~out].view(np.int64), doc[~out], p[~out], np.full((~out).sum(), -1))
+            fd, fq = least.find(k[first], d[first], q[first])
+            least.add(k[first], fd, fq)
+            group = np.cumsum(new) - 1
+            out = np.empty(len(k), bool)
+            out[order] = (fd[group] < d) | ((fd[group] == d) & (fq[group] < q))
+            mine = ~out
+            own, where, many = np.unique(h[mine], return_inverse=True, return_counts=True)
+            crowded = many > HOT
+            part = np.where(crowded[where], 1 + (ctx[mine] % U(PARTS)).astype(np.int64), 0)
+            yield _rows(h[mine].view(np.int64), part, ctx[mine].view(np.int64), doc[mine], p[mine], np.full(mine.sum(), ANCHOR))
+            z = np.zeros(crowded.sum(), np.int64)
+            yield _rows(own[crowded].view(np.int64), z, z, z, z, z + OTHERS)
             x, s, e = merged(r[out], (a - base)[out], (b - base)[out])
-            x = ids[i:j][x]
-            yield _rows(mix(x.view(np.uint64)).view(np.int64), np.zeros(len(x), np.int64), x, s, e)
+            x, z = ids[i:j][x], np.zeros(len(x), np.int64)
+            yield _rows(mix(x.view(np.uint64)).view(np.int64), z, z, x, s, e)
 
 
-def _rows(h, ctx, doc, pos, upto):
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(upto.astype(np.int32))], ["h", "ctx", "doc", "pos", "upto"])
+def _rows(h, part, ctx, doc, pos, upto):
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(part.astype(np.int32)), pa.array(ctx), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(upto.astype(np.int32))], ["h", "part", "ctx", "doc", "pos", "upto"])
 
 
 def _settle(batches):
-    """Rows sorted by h, ctx, doc, pos: intervals for later occurrences of a context (pos is the anchor's place: the
-    interval is cut to the text later), and first occurrences (upto is -1) where an anchor has several contexts."""
-    last = None  # h, ctx, doc and pos of the last first occurrence; whether it has been sent
+    """Rows sorted by h, part, upto, ctx, doc, pos: intervals for later occurrences of a context (pos is the anchor's place:
+    the interval is cut to the text later), and first occurrences (ANCHOR) where an anchor has several contexts."""
+    last = None  # h, part, ctx, doc and pos of the last first occurrence; whether it has been sent
+    known = None  # h of the last OTHERS row
     for batch in batches:
-        h, ctx, doc, pos, upto = (c.to_numpy() for c in batch.columns)
+        h, part, ctx, doc, pos, upto = (c.to_numpy() for c in batch.columns)
         ready = upto >= 0
         if ready.any():
-            yield _rows(h[ready], ctx[ready], doc[ready], pos[ready], upto[ready])
-            h, ctx, doc, pos = h[~ready], ctx[~ready], doc[~ready], pos[~ready]
+            yield _rows(h[ready], part[ready], ctx[ready], doc[ready], pos[ready], upto[ready])
+        others = h[upto == OTHERS]
+        if known is not None:
+            others = np.append(known, others)
+        known = others[-1] if len(others) else None
+        use = upto == ANCHOR
+        h, part, ctx, doc, pos = h[use], part[use], ctx[use], doc[use], pos[use]
         n = len(h)
         if not n:
             continue
         new_h, new_c = np.ones(n, bool), np.ones(n, bool)
-        new_h[1:] = h[1:] != h[:-1]
+        new_h[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
         new_c[1:] = new_h[1:] | (ctx[1:] != ctx[:-1])
-        if last is not None and last[0] == h[0]:
-            new_h[0], new_c[0] = False, last[1] != ctx[0]
+        if last is not None and last[0] == h[0] and last[1] == part[0]:
+            new_h[0], new_c[0] = False, last[2] != ctx[0]
         head = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
-        hd = np.where(head >= 0, doc[np.maximum(head, 0)], last[2] if last else 0)
-        hp = np.where(head >= 0, pos[np.maximum(head, 0)], last[3] if last else 0)
+        hd = np.where(head >= 0, doc[np.maximum(head, 0)], last[3] if last else 0)
+        hp = np.where(head >= 0, pos[np.maximum(head, 0)], last[4] if last else 0)
         again = ~new_c & ((hd != doc) | (hp != pos))
         s = np.maximum(pos[again] - REACH, 0)
-        yield _rows(h[again], ctx[again], doc[again], s, pos[again] + GRAM + REACH)
+        yield _rows(h[again], part[again], ctx[again], doc[again], s, pos[again] + GRAM + REACH)
         r = np.flatnonzero(new_c)
         if len(r):
-            several = ~new_h[r]
+            several = ~new_h[r] | (part[r] > 0) | np.isin(h[r], others)
             several[:-1] |= ~new_h[r[1:]]
-            if not new_h[r[0]] and last is not None and not last[4]:
-                yield _rows(*(np.array([v]) for v in last[:4]), np.array([-1]))
+            if not new_h[r[0]] and last is not None and not last[5]:
+                yield _rows(*(np.array([v]) for v in last[:5]), np.array([ANCHOR]))
             m = r[several]
-            yield _rows(h[m], ctx[m], doc[m], pos[m], np.full(len(m), -1))
-            last = (h[r[-1]], ctx[r[-1]], doc[r[-1]], pos[r[-1]], bool(several[-1]))
+            yield _rows(h[m], part[m], ctx[m], doc[m], pos[m], np.full(len(m), ANCHOR))
+            last = (h[r[-1]], part[r[-1]], ctx[r[-1]], doc[r[-1]], pos[r[-1]], bool(several[-1]))
 
 
-WINDOWS = "h long, part int, parts int, doc long, pos int, before int, bytes binary"
+#: An anchor's context: the windows that start lo to hi bytes before it stand in the bucket h.
+CONTEXT = "h long, lo int, hi int, doc long, pos int, before int, bytes binary"
+
+
+def _context(h, lo, hi, doc, pos, before, texts):
+    ints = lambda x: pa.array(np.asarray(x).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(h), ints(lo), ints(hi), pa.array(doc), ints(pos), ints(before), pa.array(texts, pa.binary())], ["h", "lo", "hi", "doc", "pos", "before", "bytes"])
 
 
 def _contexts(batches):
-    """doc, anchors (array of h, pos, parts), text: each anchor's context, once for each part."""
+    """doc, anchors (array of h, pos), text: each anchor's context."""
     for batch in batches:
         data, offsets = text_bytes(batch.column(2))
         lists, ids = batch.column(1), batch.column(0).to_numpy()
         counts = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten()
-        h, pos, parts = (flat.field(k).to_numpy() for k in range(3))
+        h, pos = (flat.field(k).to_numpy() for k in range(2))
         row = np.repeat(np.arange(batch.num_rows), counts)
         a = np.maximum(offsets[row] + pos - REACH, offsets[row])
         b = np.minimum(offsets[row] + pos + GRAM + REACH, offsets[row + 1])
-        texts = [data[x:y].tobytes() for x, y in zip(a, b, strict=True)]
-        again = np.repeat(np.arange(len(h)), parts)
-        part = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-        for i in range(0, len(again), 20_000):
-            k = again[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(h[k]), pa.array(part[i : i + 20_000].astype(np.int32)), pa.array(parts[k].astype(np.int32)), pa.array(ids[row[k]]), pa.array(pos[k].astype(np.int32)), pa.array((offsets[row[k]] + pos[k] - a[k]).astype(np.int32)), pa.array([texts[x] for x in k], pa.binary())], ["h", "part", "parts", "doc", "pos", "before", "bytes"])
-
-
-def window_repeats(h, part, parts, doc, pos, before, texts):
-    """Intervals of the windows around anchors that an earlier position has too: in suffix order to depth LENGTH, ties by
-    position, those whose left neighbour is equal."""
-    sizes = np.array([len(t) for t in texts])
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    total, down = prefix_hashes(np.frombuffer(b"".join(texts), np.uint8))
-    # A window starts d bytes before the anchor; d from 0 to REACH, inside the context.
-    d = np.arange(REACH + 1)
-    start = before[:, None] - d[None, :]
-    ok = (start >= 0) & (start + LENGTH <= sizes[:, None]) & (d[None, :] % parts[:, None] == part[:, None])
-    i, k = np.nonzero(ok)
-    s = at[i] + start[i, k]
-    key = mix(mix((total[s + LENGTH] - total[s]) * down[s]) ^ (h[i].view(np.uint64) + d[k].astype(np.uint64)))
-    where = pos[i] - d[k]
-    order = np.lexsort((where, doc[i], key))
-    same = np.zeros(len(order), bool)
-    o, q = order[1:], order[:-1]
-    same[1:] = key[o] == key[q]
-    head = np.maximum.accumulate(np.where(~same, np.arange(len(order)), 0))
-    first = order[head]
-    hit = order[same & ((doc[i][order] != doc[i][first]) | (where[order] != where[first]))]
-    x, w = i[hit], where[hit]
+        for i in range(0, len(h), 20_000):
+            k = slice(i, i + 20_000)
+            texts = [data[x:y].tobytes() for x, y in zip(a[k], b[k], strict=True)]
+            yield _context(h[k], np.zeros(len(texts)), np.full(len(texts), REACH), ids[row[k]], pos[k], offsets[row[k]] + pos[k] - a[k], texts)
+
+
+def _longer(batches):
+    """Contexts of crowded anchors to those of two longer anchors, one for each half of the offsets."""
+    for batch in batches:
+        lo, hi, doc, pos, before = (batch.column(k).to_numpy() for k in range(1, 6))
+        data, at = text_bytes(batch.column(6))
+        total, down = prefix_hashes(data[at[0] : at[-1]])
+        at = at - at[0]
+        texts = batch.column(6).to_numpy(zero_copy_only=False)
+        mid = (lo + hi) // 2
+        for x, y in ((lo, mid), (mid + 1, hi)):
+            s, e = at[:-1] + before - x, at[:-1] + before + LENGTH - y
+            ok = (x <= y) & (lo < hi) & (before >= x) & (e <= at[1:])
+            s, e = s[ok], e[ok]
+            h = mix(mix((total[e] - total[s]) * down[s]) ^ ((x[ok].astype(np.uint64) << U(32)) | y[ok].astype(np.uint64)))
+            yield _context(h.view(np.int64), x[ok], y[ok], doc[ok], pos[ok], before[ok], texts[ok])
+
+
+def _order(h: np.ndarray, body: np.ndarray):
+    """Rows of body (0 for none) sorted inside h: the order, and the common prefix of each with the one before it, -1 where
+    h changes."""
+    width = body.shape[1]
+    keys = np.empty((len(h), 8 + width), np.uint8)
+    keys[:, :8] = np.ascontiguousarray(h).view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
+    keys[:, 8:] = body
+    order = np.argsort(keys.view(f"S{8 + width}")[:, 0], kind="stable")
+    common = np.full(len(h), -1, np.int16)
+    x, y, g = body[order[1:]], body[order[:-1]], h[order]
+    unequal = x != y
+    common[1:] = np.where(g[1:] == g[:-1], np.where(unequal.any(1), unequal.argmax(1), width), -1)
+    return order, common
+
+
+class _Minima:
+    """Minima of ranges of an array."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while 2 << (len(self.levels) - 1) <= len(x):
+            half, y = 1 << (len(self.levels) - 1), self.levels[-1]
+            self.levels.append(np.minimum(y[:-half], y[half:]))
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Minima from a to b, both included."""
+        level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
+        out = np.empty(len(a), self.levels[0].dtype)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.levels[k][a[at]], self.levels[k][b[at] - (1 << k) + 1])
+        return out
+
+
+def _smaller(place: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For suffixes in order, with common prefixes with the one before (0 where there is none): the common prefix with the
+    previous one of smaller place, 0 without one."""
+    before, least = np.arange(len(place)) - 1, common.copy()
+    before[common == 0] = -1
+    open_ = np.flatnonzero(before >= 0)
+    while len(open_ := open_[(before[open_] >= 0) & (place[np.maximum(before[open_], 0)] >= place[open_])]):
+        j = before[open_]
+        least[open_], before[open_] = np.minimum(least[open_], least[j]), before[j]
+    return np.where(before >= 0, least, 0)
+
+
+def longest_previous(h, lo, hi, doc, pos, before, texts, least: int = LENGTH):
+    """Yields d, rows and longest previous factors (up to LENGTH) of the suffixes that start d bytes before the anchors of
+    rows; those that can't reach least are left out."""
+    n = len(h)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+    mid = np.cumsum(sizes) - sizes + before
+    after = np.minimum(sizes - before, LENGTH)
+    ahead = np.minimum(before, REACH)
+    grid = np.arange(LENGTH)
+    # UTF-8 has no byte 255, so one more than each byte leaves 0 for the end.
+    right = np.where(grid < after[:, None], flat[np.minimum(mid[:, None] + grid, len(flat) - 1)] + np.uint8(1), 0).astype(np.uint8)
+    left = np.where(grid[:REACH] < ahead[:, None], flat[np.maximum(mid[:, None] - 1 - grid[:REACH], 0)] + np.uint8(1), 0).astype(np.uint8)
+    by_right, common = _order(h, right)
+    by_left, shared = _order(h, left)
+    rank, minima = np.empty(n, np.int64), _Minima(common)
+    rank[by_right] = np.arange(n)
+    place = np.empty(n, np.int64)
+    text_order = np.lexsort((pos, doc))
+    d0, p0 = doc[text_order], pos[text_order]
+    place[text_order] = np.cumsum(np.concatenate([[True], (d0[1:] != d0[:-1]) | (p0[1:] != p0[:-1])])) if n else 0
+    side, other = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(int(lo.min()), int(hi.max()) + 1):
+        side[by_left] = np.cumsum(shared < d)
+        other[by_right] = np.cumsum(common < min(LENGTH, max(least - d, 0)))
+        at = np.flatnonzero((lo <= d) & (d <= hi) & (ahead >= d) & (after >= least - d))
+        # Suffixes that share the bytes before or after the anchor with no other one can't reach least.
+        for x in (side, other):
+            at = at[np.bincount(x[at], minlength=1)[x[at]] > 1] if len(at) else at
+        if not len(at):
+            continue
+        at = at[np.argsort(side[at] * n + rank[at])]
+        r, s = rank[at], side[at]
+        near = np.zeros(len(at), np.int64)
+        same = np.flatnonzero(s[1:] == s[:-1]) + 1
+        near[same] = d + minima.of(r[same - 1] + 1, r[same])
+        near = np.minimum(near, d + after[at])
+        up = _smaller(place[at], near)
+        down = _smaller(place[at][::-1], np.append(near[1:], 0)[::-1])[::-1]
+        yield d, at, np.minimum(np.maximum(up, down), np.minimum(LENGTH, d + after[at]))
+
+
+def window_repeats(h, lo, hi, doc, pos, before, texts):
+    """Intervals of the windows around anchors whose longest previous factor is LENGTH."""
+    rows, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d, at, factor in longest_previous(h, lo, hi, doc, pos, before, texts):
+        hit = at[factor >= LENGTH]
+        rows.append(hit)
+        starts.append(pos[hit].astype(np.int64) - d)
+    x, w = np.concatenate(rows), np.concatenate(starts)
     o = np.lexsort((w, x))
     r, a, b = merged(x[o], w[o], w[o] + LENGTH)
     return doc[r], a, b
 
 
 def _compare(batches):
-    """Rows sorted by h and part; whole groups at a time."""
-    held = None
+    """Rows sorted by h; whole buckets at a time."""
+    held, n = [], 0
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-        if len(held[0]) < 8192:
+        held.append(cols)
+        n += len(cols[0])
+        # A batch that only goes on with the last bucket can't be cut.
+        if n < 8192 or cols[0][0] == cols[0][-1]:
             continue
-        edge = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-        if not len(edge):
-            continue
-        cut = edge[-1] + 1
-        yield _found(*window_repeats(*[c[:cut] for c in held]))
-        held = [c[cut:] for c in held]
-    if held is not None and len(held[0]):
-        yield _found(*window_repeats(*held))
+        cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+        cut = np.flatnonzero(cols[0][1:] != cols[0][:-1])[-1] + 1
+        yield _found(*window_repeats(*[c[:cut] for c in cols]))
+        held, n = [[c[cut:] for c in cols]], len(cols[0]) - cut
+    if n:
+        yield _found(*window_repeats(*[np.concatenate(x) for x in zip(*held, strict=True)]))
 
 
 def _found(doc, s, e):
@@ -278,19 +411,54 @@ def _cut_batches(batches, with_bytes: bool):
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _crowded(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h")
+
+
+def _with_contexts(first: DataFrame, long: DataFrame) -> DataFrame:
+    listed = first.groupBy("doc").agg(F.collect_list(F.struct("h", "pos")).alias("anchors"))
+    return listed.join(long, "doc").select("doc", "anchors", "t").mapInArrow(_contexts, CONTEXT)
+
+
+def _compared(contexts: DataFrame) -> DataFrame:
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "doc long, s int, e int")
+
+
+def _thinned(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The intervals of crowded anchors: longer anchors until their buckets are small, or hold one window each."""
+    cuts = None
+    while True:
+        rows = scratch.put(contexts.mapInArrow(_longer, CONTEXT), "longer")
+        crowded = scratch.put(_crowded(rows), "crowded")
+        found = _compared(rows.join(crowded, "h", "left_anti"))
+        many = rows.join(crowded, "h", "left_semi")
+        # A window itself: the smallest position stays, all others go.
+        alone = many.where("lo = hi").select("h", "lo", "doc", "pos")
+        least = alone.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("least"))
+        later = alone.join(least, "h").where(F.struct("doc", "pos") > F.col("least")).select("doc", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") - F.col("lo") + LENGTH).alias("e"))
+        found = found.unionByName(later)
+        cuts = found if cuts is None else cuts.unionByName(found)
+        contexts = many.where("lo < hi")
+        if not contexts.limit(1).count():
+            return cuts
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes, which cuts may leave as broken
     UTF-8; null without with_bytes) for each row."""
     scratch = Scratch(docs.sparkSession)
     lean = docs.select(F.coalesce(docs[key].cast("long"), F.lit(LAST)).alias("doc"), docs[text].alias("t"), docs[key].cast("long").alias("doc_id"))
-    sent = lean.where(F.octet_length("t") >= LENGTH).select("doc", "t").mapInArrow(_send, SENT)
-    level = scratch.put(sent.repartition("h").sortWithinPartitions("h", "ctx", "doc", "pos").mapInArrow(_settle, SENT), "level")
-    first = level.where("upto < 0").select("h", "doc", "pos")
-    crowd = first.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h", F.least(F.ceil(F.col("n") / CROWD), F.lit(REACH + 1)).cast("int").alias("parts"))
-    first = first.join(crowd, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("h", "pos", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("anchors"))
-    where = first.join(lean.select("doc", "t").where(F.octet_length("t") >= LENGTH), "doc").select("doc", "anchors", "t")
-    near = where.mapInArrow(_contexts, WINDOWS).repartition("h", "part").sortWithinPartitions("h", "part")
+    long = lean.where(F.octet_length("t") >= LENGTH).select("doc", "t")
+    sent = long.mapInArrow(_send, SENT)
+    level = scratch.put(sent.repartition("h", "part").sortWithinPartitions("h", "part", "upto", "ctx", "doc", "pos").mapInArrow(_settle, SENT), "level")
     cuts = level.where("upto >= 0").select("doc", F.col("pos").alias("s"), F.col("upto").alias("e"))
-    cuts = cuts.unionByName(near.mapInArrow(_compare, "doc long, s int, e int"))
+    first = level.where(F.col("upto") == ANCHOR).select("h", "doc", "pos")
+    crowded = scratch.put(_crowded(first), "crowded")
+    some = crowded.limit(1).count() > 0
+    # The crowded anchors' rows are held back; without any, no join is needed.
+    rest = first.join(crowded, "h", "left_anti") if some else first
+    cuts = cuts.unionByName(_compared(_with_contexts(rest, long)))
+    if some:
+        cuts = cuts.unionByName(_thinned(_with_contexts(first.join(crowded, "h", "left_semi"), long), scratch))
     cuts = cuts.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
     return lean.join(cuts, "doc", "left").select("doc_id", "cuts", "t").mapInArrow(_cut(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
