@@ -14,9 +14,10 @@ suffixes that can share LENGTH bytes stand in the order of one anchor's bucket.
    each offset before the anchor that gives the order of the suffixes there: by the bytes before, then by the anchor's
    order; common prefixes are range minima, previous and next smaller positions come by pointer jumping, and the longer
    of the two common prefixes is the longest previous factor.
-   An anchor with more than ``CROWD`` contexts is made longer first: all windows of one half of the offsets share the bytes
-   before, all of the other half the bytes after it, so a context goes to two longer anchors, and on until the bucket
-   is small or the anchor is the window itself, whose smallest position is then all that counts.
+   An anchor with more than ``CROWD`` contexts is made longer first: all windows that start lo to hi bytes before it also
+   share the lo bytes before it and some after it, so a context goes to a longer anchor for each quarter of the offsets; of
+   contexts that are equal as far as those windows reach, only the first one goes on, as in step 1. An anchor that is a
+   window itself has one context left.
 3. The intervals of each document are joined to it and cut out.
 
 Defined results: null text counts as empty; texts under LENGTH bytes lose nothing; rows with equal ids are the same
@@ -30,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -43,7 +44,7 @@ LAST = 2**63 - 1  # stands for a null id
 WORK = 1 << 19
 #: Contexts of one anchor above which it is made longer; and contexts of one anchor in a slice of a task above which they
 #: are dealt out by context, and over how many parts.
-CROWD, HOT, PARTS = 20_000, 32, 256
+CROWD, HOT, PARTS = 2_000, 32, 256
 TOP = U(2**64 - 1)
 
 
@@ -98,7 +99,7 @@ def merged(doc: np.ndarray, s: np.ndarray, e: np.ndarray):
     return doc[i], s[i], np.append(e[i[1:] - 1], e[-1])
 
 
-SENT = "h long, part int, ctx long, doc long, pos int, upto int"
+SENT = "h long, ctx long, doc long, pos int, upto int"
 
 
 class _Least:
@@ -128,8 +129,9 @@ class _Least:
         self.runs.append(run)
 
 
-#: upto of an anchor's row, and of a row that says that an anchor has further contexts in other parts.
-ANCHOR, OTHERS = -1, -2
+#: upto of an anchor's row (less the part that it is dealt to), and of a row that says that an anchor has further contexts
+#: in other parts.
+ANCHOR, OTHERS = -1, -1_000
 
 
 def _send(batches):
@@ -163,16 +165,21 @@ def _send(batches):
             own, where, many = np.unique(h[mine], return_inverse=True, return_counts=True)
             crowded = many > HOT
             part = np.where(crowded[where], 1 + (ctx[mine] % U(PARTS)).astype(np.int64), 0)
-            yield _rows(h[mine].view(np.int64), part, ctx[mine].view(np.int64), doc[mine], p[mine], np.full(mine.sum(), ANCHOR))
+            yield _rows(h[mine].view(np.int64), ctx[mine].view(np.int64), doc[mine], p[mine], ANCHOR - part)
             z = np.zeros(crowded.sum(), np.int64)
-            yield _rows(own[crowded].view(np.int64), z, z, z, z, z + OTHERS)
+            yield _rows(own[crowded].view(np.int64), z, z, z, z + OTHERS)
             x, s, e = merged(r[out], (a - base)[out], (b - base)[out])
-            x, z = ids[i:j][x], np.zeros(len(x), np.int64)
-            yield _rows(mix(x.view(np.uint64)).view(np.int64), z, z, x, s, e)
+            x = ids[i:j][x]
+            yield _rows(mix(x.view(np.uint64)).view(np.int64), np.zeros(len(x), np.int64), x, s, e)
 
 
-def _rows(h, part, ctx, doc, pos, upto):
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(part.astype(np.int32)), pa.array(ctx), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(upto.astype(np.int32))], ["h", "part", "ctx", "doc", "pos", "upto"])
+def _rows(h, ctx, doc, pos, upto):
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ctx), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(upto.astype(np.int32))], ["h", "ctx", "doc", "pos", "upto"])
+
+
+def _part(upto: Column) -> Column:
+    """The part that a row is dealt to; rows other than anchors go with those of part 0."""
+    return F.when(upto == OTHERS, ANCHOR).otherwise(F.least(upto, F.lit(ANCHOR)))
 
 
 def _settle(batches):
@@ -181,16 +188,16 @@ def _settle(batches):
     last = None  # h, part, ctx, doc and pos of the last first occurrence; whether it has been sent
     known = None  # h of the last OTHERS row
     for batch in batches:
-        h, part, ctx, doc, pos, upto = (c.to_numpy() for c in batch.columns)
+        h, ctx, doc, pos, upto = (c.to_numpy() for c in batch.columns)
         ready = upto >= 0
         if ready.any():
-            yield _rows(h[ready], part[ready], ctx[ready], doc[ready], pos[ready], upto[ready])
+            yield _rows(h[ready], ctx[ready], doc[ready], pos[ready], upto[ready])
         others = h[upto == OTHERS]
         if known is not None:
             others = np.append(known, others)
         known = others[-1] if len(others) else None
-        use = upto == ANCHOR
-        h, part, ctx, doc, pos = h[use], part[use], ctx[use], doc[use], pos[use]
+        use = ~ready & (upto != OTHERS)
+        h, part, ctx, doc, pos = h[use], upto[use], ctx[use], doc[use], pos[use]
         n = len(h)
         if not n:
             continue
@@ -204,15 +211,15 @@ def _settle(batches):
         hp = np.where(head >= 0, pos[np.maximum(head, 0)], last[4] if last else 0)
         again = ~new_c & ((hd != doc) | (hp != pos))
         s = np.maximum(pos[again] - REACH, 0)
-        yield _rows(h[again], part[again], ctx[again], doc[again], s, pos[again] + GRAM + REACH)
+        yield _rows(h[again], ctx[again], doc[again], s, pos[again] + GRAM + REACH)
         r = np.flatnonzero(new_c)
         if len(r):
-            several = ~new_h[r] | (part[r] > 0) | np.isin(h[r], others)
+            several = ~new_h[r] | (part[r] < ANCHOR) | np.isin(h[r], others)
             several[:-1] |= ~new_h[r[1:]]
             if not new_h[r[0]] and last is not None and not last[5]:
-                yield _rows(*(np.array([v]) for v in last[:5]), np.array([ANCHOR]))
+                yield _rows(*(np.array([v]) for v in (last[0], *last[2:5])), np.array([ANCHOR]))
             m = r[several]
-            yield _rows(h[m], part[m], ctx[m], doc[m], pos[m], np.full(len(m), ANCHOR))
+            yield _rows(h[m], ctx[m], doc[m], pos[m], np.full(len(m), ANCHOR))
             last = (h[r[-1]], part[r[-1]], ctx[r[-1]], doc[r[-1]], pos[r[-1]], bool(several[-1]))
 
 
@@ -242,21 +249,76 @@ def _contexts(batches):
             yield _context(h[k], np.zeros(len(texts)), np.full(len(texts), REACH), ids[row[k]], pos[k], offsets[row[k]] + pos[k] - a[k], texts)
 
 
+LONGER = f"{CONTEXT}, reach long"
+
+
 def _longer(batches):
-    """Contexts of crowded anchors to those of two longer anchors, one for each half of the offsets."""
+    """Contexts of crowded anchors to those of longer anchors, one for each quarter of the offsets, and reach: a hash of all
+    that those windows reach. Without bytes: intervals pos to before, for contexts that are not first in this task."""
+    least = _Least()
     for batch in batches:
         lo, hi, doc, pos, before = (batch.column(k).to_numpy() for k in range(1, 6))
         data, at = text_bytes(batch.column(6))
-        total, down = prefix_hashes(data[at[0] : at[-1]])
+        body = data[at[0] : at[-1]]
+        total, down = prefix_hashes(body)
         at = at - at[0]
-        texts = batch.column(6).to_numpy(zero_copy_only=False)
-        mid = (lo + hi) // 2
-        for x, y in ((lo, mid), (mid + 1, hi)):
-            s, e = at[:-1] + before - x, at[:-1] + before + LENGTH - y
-            ok = (x <= y) & (lo < hi) & (before >= x) & (e <= at[1:])
-            s, e = s[ok], e[ok]
-            h = mix(mix((total[e] - total[s]) * down[s]) ^ ((x[ok].astype(np.uint64) << U(32)) | y[ok].astype(np.uint64)))
-            yield _context(h.view(np.int64), x[ok], y[ok], doc[ok], pos[ok], before[ok], texts[ok])
+        digest = lambda s, e: mix((total[e] - total[s]) * down[s])  # noqa: B023, E731
+        after = at[1:] - at[:-1] - before
+        step = (hi - lo) // 4 + 1
+        for x in (lo, lo + step, lo + 2 * step, lo + 3 * step):
+            y = np.minimum(x + step - 1, hi)
+            ok = np.flatnonzero((x <= y) & (lo < hi) & (np.minimum(y, before) >= np.maximum(x, LENGTH - after)))
+            if not len(ok):
+                continue
+            x, y, d, p, b = x[ok], y[ok], doc[ok], pos[ok], before[ok]
+            mid, span = at[:-1][ok] + b, (x.astype(np.uint64) << U(32)) | y.astype(np.uint64)
+            h = mix(digest(mid - x, mid + LENGTH - y) ^ mix(span))
+            left, right = np.minimum(y, b), np.minimum(LENGTH - x, after[ok])
+            reach = mix(digest(mid - left, mid + right) ^ mix((left.astype(np.uint64) << U(32)) | right.astype(np.uint64)))
+            key = mix(h ^ (reach * U(3)))
+            order = np.lexsort((p, d, key))
+            new = np.ones(len(ok), bool)
+            new[1:] = key[order][1:] != key[order][:-1]
+            first = order[new]
+            fd, fp = least.find(key[first], d[first], p[first])
+            least.add(key[first], fd, fp)
+            group = np.cumsum(new) - 1
+            later = np.empty(len(ok), bool)
+            later[order] = (fd[group] < d[order]) | ((fd[group] == d[order]) & (fp[group] < p[order]))
+            texts = [None if late else body[m - u : m + v].tobytes() for late, m, u, v in zip(later, mid, left, right, strict=True)]
+            out = _context(h.view(np.int64), x, y, d, np.where(later, p - left, p), np.where(later, p + right, left), texts)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(reach.view(np.int64))], [*out.schema.names, "reach"])
+
+
+def _firsts(batches):
+    """Rows sorted by h, reach, doc, pos: contexts that aren't the first become intervals."""
+    last = None
+    for batch in batches:
+        h, lo, hi, doc, pos, before = (batch.column(k).to_numpy() for k in range(6))
+        reach, texts = batch.column(7).to_numpy(), batch.column(6)
+        ready = np.asarray(texts.is_null())
+        sizes = np.diff(text_bytes(texts)[1])
+        use = np.flatnonzero(~ready)
+        again = np.zeros(len(h), bool)
+        if len(use):
+            k = np.stack([h[use], reach[use]])
+            new = np.ones(len(use), bool)
+            new[1:] = (k[:, 1:] != k[:, :-1]).any(0)
+            new[0] = last is None or (k[:, 0] != last[0]).any()
+            head = np.maximum.accumulate(np.where(new, np.arange(len(use)), -1))
+            fd = np.where(head >= 0, doc[use][np.maximum(head, 0)], last[1] if last else 0)
+            fp = np.where(head >= 0, pos[use][np.maximum(head, 0)], last[2] if last else 0)
+            again[use] = ~new & ((fd != doc[use]) | (fp != pos[use]))
+            last = (k[:, -1], fd[-1], fp[-1])
+            repeat = use[~new & ~again[use]]  # the same occurrence once more, from repeated rows
+            keep = np.ones(len(h), bool)
+            keep[repeat] = False
+        else:
+            keep = np.ones(len(h), bool)
+        s, e = np.where(again, pos - before, pos), np.where(again, pos - before + sizes, before)
+        kept = texts.to_numpy(zero_copy_only=False)[keep]
+        kept[again[keep]] = None
+        yield _context(h[keep], lo[keep], hi[keep], doc[keep], s[keep], e[keep], kept)
 
 
 def _order(h: np.ndarray, body: np.ndarray):
@@ -415,32 +477,22 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("h")
 
 
-def _with_contexts(first: DataFrame, long: DataFrame) -> DataFrame:
-    listed = first.groupBy("doc").agg(F.collect_list(F.struct("h", "pos")).alias("anchors"))
-    return listed.join(long, "doc").select("doc", "anchors", "t").mapInArrow(_contexts, CONTEXT)
-
-
-def _compared(contexts: DataFrame) -> DataFrame:
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "doc long, s int, e int")
-
-
-def _thinned(contexts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The intervals of crowded anchors: longer anchors until their buckets are small, or hold one window each."""
+def _intervals(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, s, e of the windows that an earlier position has too. Crowded anchors are made longer until their buckets are
+    small, or hold one window each."""
     cuts = None
     while True:
-        rows = scratch.put(contexts.mapInArrow(_longer, CONTEXT), "longer")
-        crowded = scratch.put(_crowded(rows), "crowded")
-        found = _compared(rows.join(crowded, "h", "left_anti"))
-        many = rows.join(crowded, "h", "left_semi")
-        # A window itself: the smallest position stays, all others go.
-        alone = many.where("lo = hi").select("h", "lo", "doc", "pos")
-        least = alone.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("least"))
-        later = alone.join(least, "h").where(F.struct("doc", "pos") > F.col("least")).select("doc", (F.col("pos") - F.col("lo")).alias("s"), (F.col("pos") - F.col("lo") + LENGTH).alias("e"))
-        found = found.unionByName(later)
+        crowded = scratch.put(_crowded(contexts), "crowded")
+        some = crowded.limit(1).count() > 0
+        small = contexts.join(crowded, "h", "left_anti") if some else contexts
+        found = small.repartition("h").sortWithinPartitions("h").mapInArrow(_compare, "doc long, s int, e int")
         cuts = found if cuts is None else cuts.unionByName(found)
-        contexts = many.where("lo < hi")
-        if not contexts.limit(1).count():
+        if not some:
             return cuts
+        rows = contexts.join(crowded, "h", "left_semi").mapInArrow(_longer, LONGER).repartition("h", "reach")
+        rows = scratch.put(rows.sortWithinPartitions("h", "reach", "doc", "pos").mapInArrow(_firsts, CONTEXT), "longer")
+        cuts = cuts.unionByName(rows.where("bytes is null").select("doc", F.col("pos").alias("s"), F.col("before").alias("e")))
+        contexts = rows.where("bytes is not null")
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", with_bytes: bool = True) -> DataFrame:
@@ -450,15 +502,12 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lean = docs.select(F.coalesce(docs[key].cast("long"), F.lit(LAST)).alias("doc"), docs[text].alias("t"), docs[key].cast("long").alias("doc_id"))
     long = lean.where(F.octet_length("t") >= LENGTH).select("doc", "t")
     sent = long.mapInArrow(_send, SENT)
-    level = scratch.put(sent.repartition("h", "part").sortWithinPartitions("h", "part", "upto", "ctx", "doc", "pos").mapInArrow(_settle, SENT), "level")
+    part = _part(F.col("upto"))
+    level = scratch.put(sent.repartition(F.col("h"), part).sortWithinPartitions(F.col("h"), part, "upto", "ctx", "doc", "pos").mapInArrow(_settle, SENT), "level")
     cuts = level.where("upto >= 0").select("doc", F.col("pos").alias("s"), F.col("upto").alias("e"))
     first = level.where(F.col("upto") == ANCHOR).select("h", "doc", "pos")
-    crowded = scratch.put(_crowded(first), "crowded")
-    some = crowded.limit(1).count() > 0
-    # The crowded anchors' rows are held back; without any, no join is needed.
-    rest = first.join(crowded, "h", "left_anti") if some else first
-    cuts = cuts.unionByName(_compared(_with_contexts(rest, long)))
-    if some:
-        cuts = cuts.unionByName(_thinned(_with_contexts(first.join(crowded, "h", "left_semi"), long), scratch))
+    listed = first.groupBy("doc").agg(F.collect_list(F.struct("h", "pos")).alias("anchors"))
+    contexts = scratch.put(listed.join(long, "doc").select("doc", "anchors", "t").mapInArrow(_contexts, CONTEXT), "contexts")
+    cuts = cuts.unionByName(_intervals(contexts, scratch))
     cuts = cuts.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
     return lean.join(cuts, "doc", "left").select("doc_id", "cuts", "t").mapInArrow(_cut(with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
