@@ -204,3 +204,14 @@ def test_clustering_answers_over_its_block_and_sample_sizes(spark):
         assert len({x.cluster for x in ward}) == 3 == len({(x.k % 3, x.cluster) for x in ward})
         found = {(x.cluster, x.k % 3) for x in dense if x.cluster >= 0}
         assert {g for _, g in found} == {0, 1, 2} and len({c for c, _ in found}) == len(found)
+
+
+def test_target_groups_plan(spark):
+    """The plan on three strips: a rule by channel, the height rule of CRH5 trains, and a channel without targets."""
+    box = "seq_id long, comp_id int, class_id int, min_row int, max_row int, min_col int, max_col int, px long"
+    rows = [(s, k, c, r, r + 9, col, col + 9, 100) for s in (1, 2, 3) for k, (c, r, col) in enumerate([(4, 0, 0), (1, 0, 10), (3, 0, 20), (2, 0, 30), (4, 200, 0), (1, 205, 60)])]
+    strips = spark.createDataFrame([(1, "5", "CR400AF-B-2118"), (2, "3", "CRH5A-5001"), (3, "1", "CRH5A-5001")], "seq_id long, channel string, train_group string")
+    got = {(r.seq_id, r.finder, tuple(r.found), r.min_row) for r in K.target_groups(strips, spark.createDataFrame(rows, box)).collect()}
+    assert {s for s, *_ in got} == {1, 2}
+    assert (1, "connected", ("axle", "gearbox", "motor", "wheel"), 0) in got
+    assert {(f, tuple(c), r) for s, f, c, r in got if s == 2} == {("height", ("axle", "gearbox", "motor", "wheel"), 0), ("height", ("gearbox", "wheel"), 200), ("single", ("wheel",), 200)}

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from trackwise.plans import queries_domain, queries_vectors
+from trackwise.plans import queries_domain, queries_files, queries_vectors
 
 
 def flagship(spark, sf_dir):
-    """Prompts of all four kinds: scan, parse, rules, longest-prefix and dictionary joins, union."""
-    return queries_domain.q03_prompt_union(spark, sf_dir)
+    """The whole mask-to-groups plan: components, filters, rules, finders, one bag, suppression."""
+    return queries_files.q94_mask_to_groups(spark, sf_dir)
 
 
 def queries():
-    return {**queries_domain.Q, **queries_vectors.Q}
+    return {**queries_domain.Q, **queries_vectors.Q, **queries_files.Q}
 
 
 def oracle_sql():
-    return {**queries_domain.SQL, **queries_vectors.SQL}
+    return {**queries_domain.SQL, **queries_vectors.SQL, **queries_files.SQL}

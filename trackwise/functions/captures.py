@@ -54,23 +54,27 @@ def parse_capture(path: Column, dialect: str = "segmentation") -> Column:
     return F.when(is_l, l_form).otherwise(out)
 
 
-def parse_target(name: Column) -> Column:
-    """train_group, pass_time, channel, components of a target cut; the first grammar that fits."""
-    forms = [r"^[^_]+_([^_]+)_([^_]+)_.*_10X(\d)_.*?_group\d+_(.+?)_image\.png$", r"^[^_]+_([^_]+)_([^_]+)_.*_(L\d+)_.*?_group\d+_(.+?)_image\.png$"]
+def _first_match(name: Column, forms: list[str], keys: tuple[str, ...]) -> Column:
     out = None
     for f in forms:
-        got = F.struct(*[F.regexp_extract(name, f, i).alias(k) for i, k in enumerate(("train_group", "pass_time", "channel", "components"), 1)])
+        got = F.struct(*[F.regexp_extract(name, f, i).alias(k) for i, k in enumerate(keys, 1)])
         out = F.when(name.rlike(f), got) if out is None else out.when(name.rlike(f), got)
     return out
 
 
+# The forms of target and background names, tried in order.
+TARGET_FORMS = [r"^[^_]+_([^_]+)_(\d+)_[^_]+_\d+_\d+_10X(\d)_.*?_group\d+_(.+?)_image\.png$", r"^[^_]+_([^_]+)_(\d+)_[^_]+_\d+_(L\d+)_.*?_group\d+_(.+?)_image\.png$"]
+BACKGROUND_FORMS = [r"^[^_]+_([^_]+)_(\d+)_[^_]+_\d+_\d+_10X(\d)", r"^[^_]+_([^_]+)_(\d+)_[^_]+_\d+_(L\d+)_\d{4}\.\w+$"]
+
+
+def parse_target(name: Column) -> Column:
+    """train_group, pass_time, channel, components of a target cut."""
+    return _first_match(name, TARGET_FORMS, ("train_group", "pass_time", "channel", "components"))
+
+
 def parse_background(name: Column) -> Column:
-    forms = [r"^[^_]+_([^_]+)_([^_]+)_.*_10X(\d)", r"^[^_]+_([^_]+)_([^_]+)_.*_(L\d+)_\d{4}\.\w+$"]
-    out = None
-    for f in forms:
-        got = F.struct(*[F.regexp_extract(name, f, i).alias(k) for i, k in enumerate(("train_group", "pass_time", "channel"), 1)])
-        out = F.when(name.rlike(f), got) if out is None else out.when(name.rlike(f), got)
-    return out
+    """train_group, pass_time, channel of a background image."""
+    return _first_match(name, BACKGROUND_FORMS, ("train_group", "pass_time", "channel"))
 
 
 UUID = r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
@@ -143,3 +147,8 @@ def rotation_keys(channel: Column, station: Column) -> tuple[Column, Column]:
     high = channel.isin("5", "6", "7", "8", "9")
     exact = F.when(low, F.concat(station, F.lit("_1"))).when(high, F.concat(station, F.lit("_"), channel))
     return exact, F.when(high, F.concat(station, F.lit("_5")))
+
+
+def needs_rotation(path: Column, flag: Column, folder: str) -> Column:
+    """The rotation flag, and every image of a special folder."""
+    return path.contains(folder) | flag

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackwise.scratch import Scratch
+
 from .graph import min_label_components
 from .sequences import merge_intervals
 
@@ -161,3 +163,42 @@ def route(sequences: DataFrame) -> DataFrame:
     own = sequences.withColumn("__k", key).join(rules.withColumn("__k", F.coalesce("channel", F.lit("*"))).drop("channel"), "__k").drop("__k")
     crh5 = sequences.where(F.col("train_group").contains("CRH5") & ~F.col("channel").isin("1", "2")).withColumn("finder", F.lit("height")).withColumn("patterns", F.array(F.array(*map(F.lit, HEIGHT_CRH5[0]))))
     return own.where("finder <> 'none'").unionByName(crh5)
+
+
+def single_groups(components: DataFrame, class_id: int, by: str = "seq_id") -> DataFrame:
+    """Every component of a class is a group of its own, numbered by place."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(by).orderBy("min_row", "min_col", "comp_id")
+    return components.where(F.col("class_id") == class_id).withColumn("group_no", F.row_number().over(w) - 1)
+
+
+def target_groups(sequences: DataFrame, components: DataFrame, distance: int = 5, tolerance: int = 30, by: str = "seq_id", edges: DataFrame | None = None) -> DataFrame:
+    """The whole plan from filtered components to groups: rules by channel and train choose finders for each sequence, all
+    groups found are one bag, and of overlapping ones those with most components stay. sequences: by, channel, train_group;
+    by, finder, group_key, found, n_comps and the box."""
+    plan, scratch = scratch_plan(sequences)
+    wheel = CLASSES.index("wheel")
+    cols = [by, "finder", "group_key", "found", "n_comps", "min_row", "max_row", "min_col", "max_col"]
+    # Members by finder, each found once for all sequences that a rule sends there.
+    sent = lambda finder: components.join(plan.where(F.col("finder") == finder).select(by).distinct(), by, "left_semi")
+    linked = sent("connected")
+    near = box_pairs(linked, distance, by).select(by, "a", "b") if edges is None else edges
+    members = {"connected": scratch.put(connected_groups(linked, near, wheel, distance, by), "connected"), "height": scratch.put(height_groups(sent("height"), wheel, tolerance, by), "height")}
+    every = None
+    for finder, patterns in {(f, str(p)): (f, p) for _, f, p in [*RULES, (None, "height", HEIGHT_CRH5)] if f != "none"}.values():
+        wanted = F.array(*[F.array(*map(F.lit, p)) for p in patterns])
+        mine = plan.where((F.col("finder") == finder) & (F.col("patterns") == wanted)).select(by).distinct()
+        rows = members[finder] if finder in members else single_groups(components, CLASSES.index(patterns[0][0]), by)
+        found = with_pattern(rows.join(mine, by, "left_semi"), patterns, [by, "group_no"]).withColumn("finder", F.lit(finder))
+        key = F.concat_ws(":", F.lit(finder), F.lit("-".join(patterns[0])), F.lpad(F.col("group_no").cast("string"), 9, "0"))
+        found = found.withColumn("group_key", key).select(*cols)
+        every = found if every is None else every.unionByName(found)
+    every = scratch.put(every, "groups")
+    return every.join(suppress_overlaps(every, by, "group_key"), [by, "group_key"], "left_semi")
+
+
+def scratch_plan(sequences: DataFrame) -> tuple[DataFrame, Scratch]:
+    """The routed sequences, written once, and the folder that they are in."""
+    scratch = Scratch(sequences.sparkSession)
+    return scratch.put(route(sequences), "plan"), scratch

@@ -14,6 +14,12 @@ def islands(df: DataFrame, by: list[str], order: list[str], number: str, out: st
     return df.withColumn(out, F.sum(f"__{out}").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop(f"__{out}")
 
 
+def append_directories(df: DataFrame, by: list[str], directory: str, order: list[str], number: str, out: str = "seq_id") -> DataFrame:
+    """Sequences of several directories: those of one prefix follow each other in directory order and are never merged."""
+    df = islands(df, [*by, directory], order, number, "__island")
+    return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(directory, "__island")) - 1).drop("__island")
+
+
 def split_long(df: DataFrame, by: list[str], order: list[str], limit: int = 50, piece: int = 15) -> DataFrame:
     """sub_no: pieces of sequences with more than limit images, null for the others; pos: place in the sequence."""
     pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1

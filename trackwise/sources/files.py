@@ -106,10 +106,51 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return df.select("image", "b.class_name", at(0).alias("xmin"), at(1).alias("ymin"), at(2).alias("xmax"), at(3).alias("ymax"), ((at(0) + at(2)) / 2).alias("center_x"))
 
 
-def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Row i with row i, to the shorter side, for files that are tied by position only. Prefer a key."""
-    number = lambda df: df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(["idx", *df.columns])
-    return number(left).join(number(right), "idx")
+def json_rows(spark: SparkSession, path: str, value: str, name: str) -> DataFrame:
+    """idx and name from a JSON array in a file."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.posexplode(F.from_json("value", f"array<{value}>")).alias("idx", name))
+
+
+def npy_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """idx and name from a two-dimensional NumPy file, which one task reads."""
+    import pyarrow as pa
+
+    def run(batches):
+        import io
+
+        import numpy as np
+
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = np.load(io.BytesIO(content), allow_pickle=False)
+                for i in range(0, len(rows), 4096):
+                    part = rows[i : i + 4096].astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array(range(i, i + len(part)), pa.int32()), pa.array(list(part), pa.list_(pa.float32()))], ["idx", name])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, f"idx int, {name} array<float>")
+
+
+def zipped(left: DataFrame, right: DataFrame, index: str = "idx") -> DataFrame:
+    """Rows of equal index, to the shorter side: files that are tied by position carry it as a column."""
+    return left.join(right, index)
+
+
+def feature_files(spark: SparkSession, images: str, texts: str, paths: str, prompts: str) -> DataFrame:
+    """idx, img, txt, path, prompt from two NumPy files and two JSON arrays, to the shortest."""
+    out = zipped(npy_rows(spark, images, "img"), npy_rows(spark, texts, "txt"))
+    return zipped(zipped(out, json_rows(spark, paths, "string", "path")), json_rows(spark, prompts, "string", "prompt"))
+
+
+def prompt_images(df: DataFrame) -> DataFrame:
+    """Background and manual images: three suffixes, in lower case only."""
+    return df.where(F.col("path").rlike(r"\.(jpg|jpeg|png)$"))
+
+
+def fault_images(df: DataFrame) -> DataFrame:
+    """path and the parsed parts of fault images at any depth; names that can't be parsed go."""
+    df = df.where(C.file_name(F.col("path")).rlike(r"_ori.*_.*\.jpg$")).withColumn("m", C.parse_fault(C.file_name(F.col("path"))))
+    return df.where("m is not null").select("path", "m.*")
 
 
 def by_ids(df: DataFrame, ids: DataFrame | None, key: str, basename: bool = False) -> DataFrame:

@@ -41,3 +41,16 @@ def latest_suffix(df: DataFrame, path: str, stem: str = "checkpoint") -> DataFra
     n = F.regexp_extract(path, rf"{stem}-(\d+)\.\w+$", 1).try_cast("long")
     plain = F.col(path).rlike(rf"{stem}\.\w+$")
     return df.where(plain | n.isNotNull()).agg(F.max_by(path, F.coalesce(F.when(plain, F.lit(2**62)), n)).alias("resume"))
+
+
+def copy_list(df: DataFrame, path: str, order: list[str], root: str) -> DataFrame:
+    """path and target root/<name> of the files to copy; of files with one name the last in order is left."""
+    name = F.regexp_extract(path, r"[^/]+$", 0)
+    rows = df.select(F.concat(F.lit(root.rstrip("/") + "/"), name).alias("target"), F.struct(*order, F.col(path).alias("p")).alias("last"))
+    return rows.groupBy("target").agg(F.max("last").alias("last")).select(F.col("last.p").alias("path"), "target")
+
+
+def log_lines(df: DataFrame, path: str, level: str = "level") -> DataFrame:
+    """Appends all lines to a log and returns the errors."""
+    df.write.mode("append").json(path)
+    return df.where(F.col(level) == "ERROR")
