@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,25 +39,31 @@ def legend(df: DataFrame, cluster: str, most: int = 75) -> DataFrame:
     return n.orderBy((F.col(cluster) < 0).cast("int"), cluster).limit(most)
 
 
-def crop_geometry(df: DataFrame, key: str, width: str, height: str, scale=(0.08, 1.0), ratio=(3 / 4, 4 / 3), seed: int = 0) -> DataFrame:
-    """A struct crop (i, j, h, w) inside each image: ten tries, then a centre crop of the nearest ratio."""
-
-    @F.pandas_udf("i int, j int, h int, w int")
-    def draw(keys: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.DataFrame:
-        out = []
-        for k, w0, h0 in zip(keys, ws, hs, strict=True):
-            rng = np.random.default_rng([seed, int(k) & 0x7FFFFFFF])
-            for _ in range(10):
-                area = w0 * h0 * rng.uniform(*scale)
-                r = np.exp(rng.uniform(np.log(ratio[0]), np.log(ratio[1])))
-                w, h = int(round((area * r) ** 0.5)), int(round((area / r) ** 0.5))
-                if 0 < w <= w0 and 0 < h <= h0:
-                    out.append((int(rng.integers(0, h0 - h + 1)), int(rng.integers(0, w0 - w + 1)), h, w))
-                    break
-            else:
-                r = min(max(w0 / h0, ratio[0]), ratio[1])
-                w, h = min(w0, int(round(h0 * r))), min(h0, int(round(w0 / r)))
-                out.append(((h0 - h) // 2, (w0 - w) // 2, h, w))
-        return pd.DataFrame(out, columns=["i", "j", "h", "w"])
-
-    return df.withColumn("crop", draw(F.col(key), F.col(width), F.col(height)))
+def uniform(*parts: Column) -> Column:
+    """A number in [0, 1) that hangs on its parts alone, from a digest that other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 2.0**32
+
+
+def crop_geometry(df: DataFrame, key: str, width: str, height: str, scale=(0.08, 1.0), ratio=(3 / 4, 4 / 3), seed: int = 0, tries: int = 10) -> DataFrame:
+    """A struct crop (i, j, h, w) inside each image. A crop's share of the area is uniform in scale and the logarithm of its
+    aspect uniform in that of ratio; the first of the tries that fits counts, else the largest centred crop whose aspect is
+    in ratio."""
+    full_w, full_h = F.col(width).cast("double"), F.col(height).cast("double")
+    draw = lambda t, k: uniform(F.lit(seed), F.col(key), t, F.lit(k))
+    log_ratio = [float(np.log(r)) for r in ratio]
+
+    def attempt(t: Column) -> Column:
+        area = full_w * full_h * (scale[0] + (scale[1] - scale[0]) * draw(t, "area"))
+        aspect = F.exp(log_ratio[0] + (log_ratio[1] - log_ratio[0]) * draw(t, "aspect"))
+        return F.struct(t.alias("t"), F.round(F.sqrt(area * aspect)).alias("w"), F.round(F.sqrt(area / aspect)).alias("h"))
+
+    inside = lambda c: c.w.between(1, full_w) & c.h.between(1, full_h)
+    first = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), attempt), inside), F.lit(0))
+    nearest = F.least(F.greatest(full_w / full_h, F.lit(ratio[0])), F.lit(ratio[1]))
+    whole = F.struct(F.least(full_w, F.round(full_h * nearest)).alias("w"), F.least(full_h, F.round(full_w / nearest)).alias("h"))
+    at = lambda room, k: F.floor(draw(F.col("__c.t"), k) * (room + 1))
+    drawn = [at(full_h - F.col("__c.h"), "top"), at(full_w - F.col("__c.w"), "left"), F.col("__c.h"), F.col("__c.w")]
+    centred = [F.floor((full_h - F.col("__f.h")) / 2), F.floor((full_w - F.col("__f.w")) / 2), F.col("__f.h"), F.col("__f.w")]
+    box = lambda xs: F.struct(*[x.cast("int").alias(k) for k, x in zip("ijhw", xs, strict=True)])
+    out = df.withColumn("__c", first).withColumn("__f", whole)
+    return out.withColumn("crop", F.when(F.col("__c").isNotNull(), box(drawn)).otherwise(box(centred))).drop("__c", "__f")

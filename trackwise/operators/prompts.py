@@ -56,7 +56,7 @@ def record(images: Column, prompt: Column, base: str = "") -> tuple[Column, Colu
     """image, images and conversations of a training record; the question hangs on the path. Paths must be under base."""
     cut = F.transform(images, lambda p: F.when(p.startswith(base), F.substring(p, F.lit(len(base) + 1), F.length(p))).otherwise(F.raise_error(F.concat(F.lit("not under the base folder: "), p))))
     one = F.size(images) == 1
-    ask = F.when(one, F.get(F.array(*map(F.lit, QUESTIONS)), F.pmod(F.crc32(images[0]), F.lit(len(QUESTIONS))).cast("int"))).otherwise(F.concat(F.array_join(F.array_repeat(F.lit("<image>"), F.size(images)), "\n"), F.lit("\nDescribe these images.")))
+    ask = F.when(one, F.get(F.array(*map(F.lit, QUESTIONS)), (F.conv(F.substring(F.md5(images[0]), 1, 8), 16, 10).cast("long") % len(QUESTIONS)).cast("int"))).otherwise(F.concat(F.array_join(F.array_repeat(F.lit("<image>"), F.size(images)), "\n"), F.lit("\nDescribe these images.")))
     talk = F.array(F.struct(F.lit("human").alias("from"), ask.alias("value")), F.struct(F.lit("gpt").alias("from"), prompt.alias("value")))
     return F.when(one, cut[0]).alias("image"), F.when(~one, cut).alias("images"), talk.alias("conversations")
 

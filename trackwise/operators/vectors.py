@@ -357,37 +357,47 @@ def hdbscan(df: DataFrame, key: str, vec: str, min_cluster: int, min_samples: in
     return _sampled(df, key, vec, run, limit)
 
 
+BLOCK_TRIES = 64
+
+
+def _noise(keys: np.ndarray, seed: int, count: int) -> np.ndarray:
+    """Numbers in [0, 1) for each key, from its bits alone."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(count, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+
+
 def block_masks(df: DataFrame, key: str, height: int, width: int, n_masked: int, min_block: int = 16, max_block: int | None = None, seed: int = 0) -> DataFrame:
-    """key and mask (height * width of 0 and 1, n_masked ones): random blocks, then single patches to the exact number."""
+    """key and mask (height * width of 0 and 1, n_masked ones). Every row has ``BLOCK_TRIES`` candidate rectangles, all drawn
+    at once; they are laid down in order as long as the mask doesn't exceed n_masked; then the patches of smallest noise fill
+    it to the exact number."""
     most = max_block or n_masked
 
+    def masks(keys: np.ndarray) -> np.ndarray:
+        noise = _noise(keys, seed, 4 * BLOCK_TRIES + height * width)
+        area = min_block + (most - min_block) * noise[:, :BLOCK_TRIES]
+        aspect = np.exp((2 * noise[:, BLOCK_TRIES : 2 * BLOCK_TRIES] - 1) * np.log(10 / 3))
+        tall = np.clip(np.rint(np.sqrt(area * aspect)), 1, height)
+        wide = np.clip(np.rint(np.sqrt(area / aspect)), 1, width)
+        top = np.floor(noise[:, 2 * BLOCK_TRIES : 3 * BLOCK_TRIES] * (height - tall + 1))
+        left = np.floor(noise[:, 3 * BLOCK_TRIES : 4 * BLOCK_TRIES] * (width - wide + 1))
+        y, x = (g.ravel()[None, :] for g in np.mgrid[:height, :width])
+        mask = np.zeros((len(keys), height * width), bool)
+        for t in range(BLOCK_TRIES):
+            side = lambda a: a[:, t : t + 1]  # noqa: B023, E731
+            grown = mask | ((y >= side(top)) & (y < side(top) + side(tall)) & (x >= side(left)) & (x < side(left) + side(wide)))
+            mask = np.where((grown.sum(1) <= n_masked)[:, None], grown, mask)
+        # Masked patches first, then the others by noise.
+        rank = np.argsort(np.argsort(np.where(mask, -1.0, noise[:, 4 * BLOCK_TRIES :]), axis=1, kind="stable"), axis=1)
+        return rank < n_masked
+
     @F.pandas_udf("array<int>")
     def draw(keys: pd.Series) -> pd.Series:
-        out = []
-        for k in keys:
-            rng = np.random.default_rng([seed, int(k) & 0x7FFFFFFF])
-            m = np.zeros((height, width), np.int32)
-            while (left := n_masked - m.sum()) > 0:
-                for _ in range(10):
-                    area = rng.uniform(min_block, max(min_block, min(most, left)))
-                    ratio = np.exp(rng.uniform(np.log(0.3), np.log(1 / 0.3)))
-                    h, w = int(round((area * ratio) ** 0.5)), int(round((area / ratio) ** 0.5))
-                    if 0 < h < height and 0 < w < width:
-                        y, x = rng.integers(0, height - h + 1), rng.integers(0, width - w + 1)
-                        new = (m[y : y + h, x : x + w] == 0).sum()
-                        if 0 < new <= min(most, left):
-                            m[y : y + h, x : x + w] = 1
-                            break
-                else:
-                    break
-            flat = m.ravel()
-            while flat.sum() != n_masked:
-                want = 1 if flat.sum() < n_masked else 0
-                flat[rng.choice(np.flatnonzero(flat != want))] = want
-            out.append(flat.tolist())
-        return pd.Series(out)
-
-    return df.select(key, draw(F.col(key)).alias("mask"))
+        return pd.Series(list(masks(keys.to_numpy()).astype(np.int32)))
+
+    return df.select(key, draw(F.col(key).cast("long")).alias("mask"))
 
 
 def relative_index(spark, height: int, width: int) -> DataFrame:

@@ -95,16 +95,16 @@ _WORDS = f"""case when channel in ('1','2','3','4','8','9') then case when {PART
 @query(f"""with c as ({CAPT}), d(code, name) as (values {', '.join(str(x) for x in CODES)}), a(alarm, english) as (values {', '.join(str(x) for x in ALARMS)}),
   g as (select alert_id, string_agg(path, ',' order by path) as path, arg_min(channel, path) as channel from ({duck(FAULTS)}) group by 1),
   f as (select g.*, SETNO as train_group, TIME as pass_time, english, (select arg_max(name, length(code)) from d where starts_with(TYPECODE, code)) as comp from g join ({duck(RECORDS)}) r on r.ALERTID = alert_id left join a on alarm = ALARMCODE)
-select 'target' as kind, cast(event_id as string) as path, {_PROMPT.replace('{c}', _WORDS)} as prompt from c where event_id % 4 = 0 and {_WORDS} <> ''
-union all select 'background', cast(event_id as string), 'A background view from the ' || {POSITION} || ' of a ' || {TYPE} || ' train''s ' || {LOCATION} || ' ' || {TIME_WORD} || ', with no key components visible.' from c where event_id % 4 = 1
-union all select 'manual', cast(event_id as string), {_PROMPT.replace('{c}', "'brake disc'")} from c where event_id % 4 = 2
+select 'target' as kind, cast(event_id as string) as path, {_PROMPT.replace('{c}', _WORDS)} as prompt from c where event_id % 3 = 0 and {_WORDS} <> ''
+union all select 'background', cast(event_id as string), 'A background view from the ' || {POSITION} || ' of a ' || {TYPE} || ' train''s ' || {LOCATION} || ' ' || {TIME_WORD} || ', with no key components visible.' from c where event_id % 3 = 1
+union all select 'manual', cast(event_id as string), {_PROMPT.replace('{c}', "'brake disc'")} from c where event_id % 3 = 2
 union all select 'fault', path, 'A photo of a train''s ' || {LOCATION} || ' showing a "' || coalesce(english, 'an unspecified issue') || '" fault on a ' || coalesce(comp, 'unknown component') || ', viewed from the ' || {POSITION} || ' of a ' || {TYPE} || ' train ' || {TIME_WORD} || '.' from f""")
 def q03_prompt_union(spark, sf):
     c = derive(spark, sf, I.CAPTURES).withColumn("path", F.col("event_id").cast("string"))
     parts = F.get(F.array(*map(F.lit, PARTS)), (F.col("user_id") % 4).cast("int"))
-    target = P.target_prompts(c.where("event_id % 4 = 0").withColumn("components", parts))
-    back = P.background_prompts(c.where("event_id % 4 = 1"))
-    manual = P.manual_prompts(c.where("event_id % 4 = 2").withColumn("folder", F.lit("brake_disc")))
+    target = P.target_prompts(c.where("event_id % 3 = 0").withColumn("components", parts))
+    back = P.background_prompts(c.where("event_id % 3 = 1"))
+    manual = P.manual_prompts(c.where("event_id % 3 = 2").withColumn("folder", F.lit("brake_disc")))
     codes, alarms = spark.createDataFrame(CODES, "code string, component_name string"), spark.createDataFrame(ALARMS, "alarm string, english string")
     fault = P.fault_prompts(derive(spark, sf, FAULTS), derive(spark, sf, RECORDS), codes, alarms).select(F.array_join("images", ",").alias("path"), "prompt")
     out = None

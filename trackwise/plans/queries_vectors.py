@@ -202,7 +202,7 @@ def q41_kmeans(spark, sf):
     return M.kmeans(features(spark, sf).select("vec_id", "vec"), "vec", 10, cosine=True).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select vec_id, cast(75 as int) as n_masked, cast(196 as int) as n_patches from embeddings")
 def q42_patch_mask(spark, sf):
     df = M.block_masks(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 14, 14, 75)
     return df.select("vec_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_masked"), F.size("mask").alias("n_patches"))
@@ -248,13 +248,22 @@ def q48_non_finite(spark, sf):
     return R.non_finite(table(spark, sf, "events").select("event_id", v.alias("value")), "value")
 
 
-@query("""select doc_id, 'doc' || doc_id || '.png' as image, '[{"from":"human"}]' as talk from documents where doc_id % 3 = 0""")
+_ASK = "case ('0x' || substr(md5('/base/doc' || doc_id || '.png'), 1, 8))::bigint % 3 when 0 then 'Describe this image.' when 1 then 'What does this image show?' else 'Explain what can be seen in this picture.' end"
+
+
+@query(f"""select doc_id, case when doc_id % 2 = 0 then 'doc' || doc_id || '.png' end as image, case when doc_id % 2 = 1 then 'doc' || doc_id || '.png,more/' || doc_id || '.png' end as images,
+  case when doc_id % 2 = 0 then {_ASK} else '<image>' || chr(10) || '<image>' || chr(10) || 'Describe these images.' end as question, coalesce(text, '') as answer, 'human>gpt' as turns from documents""")
 def q49_training_records(spark, sf):
     from trackwise.operators import prompts as P
 
-    df = table(spark, sf, "documents").where("doc_id % 3 = 0").withColumn("imgs", F.array(F.concat(F.lit("/base/doc"), F.col("doc_id").cast("string"), F.lit(".png"))))
-    image, _, talk = P.record(F.col("imgs"), F.substring("text", 1, 20), "/base/")
-    return df.select("doc_id", image, talk).select("doc_id", "image", F.to_json(F.transform(F.slice("conversations", 1, 1), lambda t: F.struct(t["from"].alias("from")))).alias("talk"))
+    i = F.col("doc_id").cast("string")
+    one, more = F.concat(F.lit("/base/doc"), i, F.lit(".png")), F.concat(F.lit("/base/more/"), i, F.lit(".png"))
+    df = table(spark, sf, "documents").withColumn("imgs", F.when(F.col("doc_id") % 2 == 0, F.array(one)).otherwise(F.array(one, more)))
+    image, images, talk = P.record(F.col("imgs"), F.coalesce("text", F.lit("")), "/base/")
+    df = df.select("doc_id", image, images, talk)
+    turn = lambda k: F.get("conversations", F.lit(k)).getField("value")
+    turns = F.array_join(F.transform("conversations", lambda t: t["from"]), ">")
+    return df.select("doc_id", "image", F.array_join("images", ",").alias("images"), turn(0).alias("question"), turn(1).alias("answer"), turns.alias("turns"))
 
 
 @query("select time_bucket(interval '1 day', ts) as win_start, time_bucket(interval '1 day', ts) + interval '1 day' as win_end, event_type, count(*) as n, round(avg(value), 6) as mean, max(value) as top from events group by all")
@@ -324,7 +333,16 @@ def q56_class_subset(spark, sf):
     return G.subset_rows(e, e.where("label % 2 = 0").select("label"), "label")
 
 
-@query()
+_U = "(('0x' || substr(md5('0|' || o_orderkey || '|' || t || '|{0}'), 1, 8))::bigint / 4294967296.0::double)"
+
+
+@query(f"""with o as (select o_orderkey, 200 + o_orderkey % 300 as width, 100 + o_orderkey % 170 as height from orders),
+  a as (select *, width::double * height * (0.08 + 0.92::double * {_U.format('area')}) as area, exp(ln(0.75::double) + (ln(4 / 3.0::double) - ln(0.75::double)) * {_U.format('aspect')}) as r from o, range(10) x(t)),
+  c as (select *, round(sqrt(area * r)) as w, round(sqrt(area / r)) as h from a),
+  f as (select * from c where w between 1 and width and h between 1 and height qualify row_number() over (partition by o_orderkey order by t) = 1)
+select o_orderkey, cast(floor({_U.format('top')} * (height - h + 1)) as int) as i, cast(floor({_U.format('left')} * (width - w + 1)) as int) as j, cast(h as int) as h, cast(w as int) as w, width, height from f
+union all select o_orderkey, cast(floor((height - least(height, round(width / n))) / 2) as int), cast(floor((width - least(width, round(height * n))) / 2) as int), cast(least(height, round(width / n)) as int), cast(least(width, round(height * n)) as int), width, height
+  from (select *, least(greatest(width::double / height, 0.75), 4 / 3.0::double) as n from o) where o_orderkey not in (select o_orderkey from f)""")
 def q57_crop_geometry(spark, sf):
     from trackwise.operators import grids as G
 
