@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackwise.scratch import Scratch
 
 from .graph import min_label_components
-from .sequences import merge_intervals
+from .sequences import interval_pairs, merge_intervals
 
 # Class names by id, target patterns, channel rules.
 CLASSES = ["background", "gearbox", "axle", "motor", "wheel", "air_duct"]
@@ -75,8 +75,7 @@ def height_groups(components: DataFrame, anchor: int, tolerance: int = 30, by: s
     """Anchors of one class merged along rows, and every component within tolerance of one; a component may join many."""
     wheels = merge_intervals(components.where(F.col("class_id") == anchor), [by], "min_row", "max_row", tolerance, "group_no", ["comp_id"])
     groups = wheels.groupBy(by, "group_no").agg(F.min("min_row").alias("lo"), F.max("max_row").alias("hi"))
-    meet = F.greatest(F.col("lo"), F.col("min_row")) <= F.least(F.col("hi"), F.col("max_row")) + tolerance
-    return groups.join(components, by).where(meet).select(by, "group_no", "comp_id", "class_id", "min_row", "max_row", "min_col", "max_col")
+    return interval_pairs(groups, components, by, ("lo", "min_row"), ("hi", "max_row"), tolerance).select(by, "group_no", "comp_id", "class_id", "min_row", "max_row", "min_col", "max_col")
 
 
 def with_pattern(members: DataFrame, patterns: list[list[str]], by: list[str]) -> DataFrame:
@@ -94,7 +93,7 @@ def near_pairs(runs: DataFrame, boxes: DataFrame, distance: float, by: str = "se
     x = boxes.select(by, *[F.col(c).alias(f"{c}_x") for c in ("comp_id", "min_row", "max_row", "min_col", "max_col")])
     y = boxes.select(by, *[F.col(c).alias(f"{c}_y") for c in ("comp_id", "min_row", "max_row", "min_col", "max_col")])
     box = (F.col("comp_id_x") < F.col("comp_id_y")) & (F.col("min_row_x") <= F.col("max_row_y") + d) & (F.col("min_row_y") <= F.col("max_row_x") + d) & (F.col("min_col_x") <= F.col("max_col_y") + d) & (F.col("min_col_y") <= F.col("max_col_x") + d)
-    pairs = x.join(y, by).where(box).select(by, F.col("comp_id_x").alias("a"), F.col("comp_id_y").alias("b"))
+    pairs = interval_pairs(x, y, by, ("min_row_x", "min_row_y"), ("max_row_x", "max_row_y"), d).where(box).select(by, F.col("comp_id_x").alias("a"), F.col("comp_id_y").alias("b"))
     r = lambda k: runs.select(by, F.col("comp_id").alias(k), F.col("row").alias(f"r{k}"), F.col("col_start").alias(f"s{k}"), F.col("col_end").alias(f"e{k}"))
     dr = F.abs(F.col("ra") - F.col("rb"))
     dc = F.greatest(F.lit(0), F.col("sb") - F.col("ea"), F.col("sa") - F.col("eb"))
@@ -108,7 +107,8 @@ def box_pairs(boxes: DataFrame, distance: int, by: str = "seq_id") -> DataFrame:
     x, y = (boxes.select(by, *[F.col(k).alias(f"{k}_{s}") for k in c]) for s in "xy")
     gap = lambda k: F.greatest(F.lit(0), F.col(f"min_{k}_y") - F.col(f"max_{k}_x"), F.col(f"min_{k}_x") - F.col(f"max_{k}_y"))
     d2 = gap("row") * gap("row") + gap("col") * gap("col")
-    return x.join(y, by).where((F.col("comp_id_x") < F.col("comp_id_y")) & (d2 <= distance * distance)).select(by, F.col("comp_id_x").alias("a"), F.col("comp_id_y").alias("b"), d2.alias("d2"))
+    pairs = interval_pairs(x, y, by, ("min_row_x", "min_row_y"), ("max_row_x", "max_row_y"), distance)
+    return pairs.where((F.col("comp_id_x") < F.col("comp_id_y")) & (d2 <= distance * distance)).select(by, F.col("comp_id_x").alias("a"), F.col("comp_id_y").alias("b"), d2.alias("d2"))
 
 
 def connected_groups(components: DataFrame, edges: DataFrame, anchor: int, distance: int, by: str = "seq_id") -> DataFrame:

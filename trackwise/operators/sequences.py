@@ -40,11 +40,28 @@ def running_offsets(df: DataFrame, by: list[str], order: list[str], height: str)
     return df.withColumn("y1", F.sum(height).over(w)).withColumn("y0", F.col("y1") - F.col(height))
 
 
+#: Rows of a strip in a cell of the interval join.
+CELL = 256
+
+
+def interval_pairs(left: DataFrame, right: DataFrame, by: str, lo: tuple[str, str], hi: tuple[str, str], reach: int = 0) -> DataFrame:
+    """Pairs of rows of one sequence whose closed intervals come within reach. Both sides are dealt to cells of ``CELL`` rows,
+    which are part of the join key, so a long strip isn't compared with itself whole; a pair counts in the first cell that
+    both are in. The columns of both sides must differ, but for by."""
+    cells = lambda df, a, b, name: df.withColumn(name, F.explode(F.sequence(F.floor((F.col(a) - reach) / CELL), F.floor(F.col(b) / CELL))))
+    x = cells(left, lo[0], hi[0], "__cell").withColumn("__first", F.floor((F.col(lo[0]) - reach) / CELL))
+    y = cells(right, lo[1], hi[1], "__cell").withColumn("__start", F.floor((F.col(lo[1]) - reach) / CELL))
+    meet = (F.col(lo[0]) - reach <= F.col(hi[1])) & (F.col(lo[1]) - reach <= F.col(hi[0]))
+    return x.join(y, [by, "__cell"]).where((F.col("__cell") == F.greatest("__first", "__start")) & meet).drop("__cell", "__first", "__start")
+
+
 def images_without_target(images: DataFrame, targets: DataFrame, by: str) -> DataFrame:
     """Images [y0, y1) that no target [t0, t1) of their sequence overlaps. A target of one row overlaps nothing."""
-    i, t = images.alias("i"), targets.alias("t")
-    meet = (F.col(f"i.{by}") == F.col(f"t.{by}")) & (F.greatest(F.col("i.y0"), F.col("t.t0")) < F.least(F.col("i.y1"), F.col("t.t1")))
-    return i.join(t, meet, "left_anti")
+    row = F.struct(*[F.col(c) for c in images.columns])
+    x = images.where("y0 < y1").select(by, row.alias("__row"), F.col("y0").alias("__a"), (F.col("y1") - 1).alias("__b"))
+    y = targets.where("t0 < t1").select(by, F.col("t0").alias("__c"), (F.col("t1") - 1).alias("__d"))
+    hit = interval_pairs(x, y, by, ("__a", "__c"), ("__b", "__d")).select("__row").distinct()
+    return images.join(hit, row.eqNullSafe(hit["__row"]), "left_anti")
 
 
 def trim_blank(df: DataFrame, by: list[str], order: str, value: str, threshold: float = 10.0, keep_blank: bool = False) -> DataFrame:
