@@ -44,7 +44,7 @@ LAST = 2**63 - 1  # stands for a null id
 WORK = 1 << 19
 #: Contexts of one anchor above which it is made longer; and contexts of one anchor in a slice of a task above which they
 #: are dealt out by context, and over how many parts.
-CROWD, HOT, PARTS = 2_000, 32, 256
+CROWD, HOT, PARTS = 20_000, 32, 256
 TOP = U(2**64 - 1)
 
 
@@ -264,7 +264,7 @@ def _longer(batches):
         at = at - at[0]
         digest = lambda s, e: mix((total[e] - total[s]) * down[s])  # noqa: B023, E731
         after = at[1:] - at[:-1] - before
-        step = (hi - lo) // 4 + 1
+        step, gone = (hi - lo) // 4 + 1, []
         for x in (lo, lo + step, lo + 2 * step, lo + 3 * step):
             y = np.minimum(x + step - 1, hi)
             ok = np.flatnonzero((x <= y) & (lo < hi) & (np.minimum(y, before) >= np.maximum(x, LENGTH - after)))
@@ -285,9 +285,21 @@ def _longer(batches):
             group = np.cumsum(new) - 1
             later = np.empty(len(ok), bool)
             later[order] = (fd[group] < d[order]) | ((fd[group] == d[order]) & (fp[group] < p[order]))
-            texts = [None if late else body[m - u : m + v].tobytes() for late, m, u, v in zip(later, mid, left, right, strict=True)]
-            out = _context(h.view(np.int64), x, y, d, np.where(later, p - left, p), np.where(later, p + right, left), texts)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(reach.view(np.int64))], [*out.schema.names, "reach"])
+            gone.append((d[later], (p - left)[later], (p + right)[later]))
+            on = np.flatnonzero(~later)
+            texts = [body[m - u : m + v].tobytes() for m, u, v in zip(mid[on], left[on], right[on], strict=True)]
+            out = _context(h[on].view(np.int64), x[on], y[on], d[on], p[on], left[on], texts)
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(reach[on].view(np.int64))], [*out.schema.names, "reach"])
+        # The quarters' intervals of a context overlap, and so do those of neighbouring anchors.
+        if gone:
+            d, s, e = (np.concatenate(c) for c in zip(*gone, strict=True))
+            order = np.lexsort((s, d))
+            d, s, e = d[order], s[order], e[order].astype(np.int64)
+            own = np.cumsum(np.append(True, d[1:] != d[:-1])) << 32
+            d, s, e = merged(d, s, np.maximum.accumulate(own + e) - own)
+            z = np.zeros(len(d), np.int64)
+            out = _context(mix(d.view(np.uint64)).view(np.int64), z, z, d, s, e, [None] * len(d))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(z)], [*out.schema.names, "reach"])
 
 
 def _firsts(batches):
