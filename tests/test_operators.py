@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,86 @@ def test_graph(spark):
     assert {r.label for r in graph.min_label_components(e).collect()} == {0, 30}
 
 
+def test_components_of_random_graphs_at_any_chunk(spark):
+    rng = random.Random(5)
+    edges = [(g, rng.randrange(60), rng.randrange(60)) for g in range(3) for _ in range(45)]
+    root = {(g, k): k for g in range(3) for k in range(60)}
+    for _ in range(60):
+        for g, a, b in edges:
+            root[g, a] = root[g, b] = min(root[g, a], root[g, b])
+    want = {(g, k): root[g, k] for g, a, b in edges for k in (a, b)}
+    df = spark.createDataFrame([*edges, (None, 1, 2), (0, None, 1)], "g int, a long, b long").repartition(3)
+    got = graph.min_label_components(df, ["g"]).collect()
+    assert {(r.g, r.node): r.label for r in got} == want and len(got) == len(want)
+    for chunk in (1, 10, 1000):
+        stars = graph.contracted(df.dropna(), ["g"], chunk)
+        assert {(r.g, r.node): r.label for r in graph.min_label_components(stars, ["g"]).collect()} == want
+    assert graph.min_label_components(df.limit(0), ["g"]).count() == 0
+
+
+def test_blend_over_cells(spark):
+    rng = random.Random(6)
+    spans, runs = [(0, 0, 400), (1, 380, 780), (2, 700, 1000)], []
+    for n, a, b in spans:
+        cuts = sorted({a, b, *[rng.randrange(a, b) for _ in range(9)]})
+        runs += [(7, n, x, y - 1, rng.randrange(6)) for x, y in zip(cuts, cuts[1:], strict=False)]
+    total: dict = {}
+    for _, n, r0, r1, c in runs:
+        _, a, b = spans[n]
+        for y in range(r0, r1 + 1):
+            up = min((y - a + 1) / 20, 1.0) if a > 0 else 1.0
+            down = min((b - y) / 20, 1.0) if b < 1000 else 1.0
+            total.setdefault(y, {}).setdefault(c, 0.0)
+            total[y][c] += min(up, down)
+    w = spark.createDataFrame([(7, n, a, b, 1000) for n, a, b in spans], "k int, win_no int, y0 long, y1 long, height int")
+    df = spark.createDataFrame(runs, "k int, win_no int, r0 long, r1 long, class_id int")
+    mean = {r.y: r.class_id for r in S.blend_windows(df, w, "k", 20).collect()}
+    assert mean == {y: round(round(sum(c * v for c, v in t.items()) / sum(t.values()), 9)) for y, t in total.items()}
+    vote = {r.y: r.class_id for r in S.blend_windows(df, w, "k", 20, "vote").collect()}
+    assert all(total[y][c] >= max(total[y].values()) - 1e-9 for y, c in vote.items()) and set(vote) == set(range(1000))
+
+
+def test_cluster_names_by_integer_and_text_order(spark):
+    rows = [(1, -5, "Pear the apple"), (1, 2, "plum 12 apple"), (1, None, "fig"), (2, 9, "b c d e"), (3, 1, None)]
+    want = {1: "Cluster_1_apple_fig_pear", 2: "Cluster_2_b_c_d"}
+    df = spark.createDataFrame(rows, "c int, o long, t string")
+    assert {r.c: r.name for r in reports.cluster_names(df, "t", "c", "o").collect()} == want
+    df = df.withColumn("o", F.format_string("%05d", F.col("o") + 100).cast("string")).withColumn("o", F.when(F.col("t") != "fig", F.col("o")))
+    assert {r.c: r.name for r in reports.cluster_names(df, "t", "c", "o").collect()} == want
+
+
+def test_ward_and_pca_against_plain_models(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(40, 4)) * [3, 1, 0.5, 0.2]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    parts = [[i] for i in range(40)]
+    cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum()
+    while len(parts) > 5:
+        _, i, j = min((cost(a, b), i, j) for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j)
+        parts[i] += parts.pop(j)
+    got: dict = {}
+    for row in M.ward(df, "k", "v", 5).collect():
+        got.setdefault(row.cluster, []).append(row.k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, parts))
+    low, shares = M.pca(df, "v", 2)
+    z = (x - x.mean(0)) / x.std(0)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    assert shares == pytest.approx((s**2 / (s**2).sum())[:2], abs=1e-9)
+    y = np.array([row.pca for row in low.orderBy("k").collect()])
+    assert np.abs(y) == pytest.approx(np.abs(u[:, :2] * s[:2]), abs=1e-6)
+
+
+def test_kmeans_and_bisecting_settle(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(90, 3)) + np.repeat(np.eye(3) * 9, 30, 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    for run in (M.kmeans, M.bisecting):
+        c = np.array([row.cluster for row in run(df, "v", 3).orderBy("k").collect()])
+        means = np.array([x[c == k].mean(0) for k in range(3)])
+        assert (((x[:, None] - means[None]) ** 2).sum(2).argmin(1) == c).all()  # every row is with its nearest mean
+        assert sorted(np.bincount(c)) == [30, 30, 30]
+
+
 def test_purity_ties_and_longest_prefix(spark):
     df = spark.createDataFrame([("c", x) for x in (3, 1, 3, 1)] + [("c", -1)], "cat string, k int")
     r = reports.category_report(df, "cat", "k").collect()[0]

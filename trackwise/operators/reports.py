@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 # Words that don't name a cluster.
 STOPWORDS = ["a", "of", "on", "the", "photo", "detailed", "in", "or", "and", "showing", "at"]
@@ -37,10 +38,14 @@ def summary(df: DataFrame, cluster: str) -> DataFrame:
 
 
 def cluster_names(df: DataFrame, text: str, cluster: str, order: str, k: int = 3) -> DataFrame:
-    """cluster and name: its k most frequent words (ties: first seen by order and place). Counting is partial first."""
+    """cluster and name: its k most frequent words (ties: first seen by order and place, null orders first). Counting is
+    partial first. An integer order and the place are one decimal, whose minimum a hash aggregate can keep."""
     w = F.posexplode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+")).alias("pos", "word")
-    words = df.select(cluster, order, w).where((F.col("word") != "") & ~F.col("word").isin(STOPWORDS) & ~F.col("word").rlike(r"^\d+$"))
-    n = words.groupBy(cluster, "word").agg(F.count("*").alias("n"), F.min(F.struct(order, "pos")).alias("first"))
+    whole = isinstance(df.schema[order].dataType, IntegralType)
+    start = F.coalesce(F.col(order).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") if whole else F.col(order)
+    words = df.select(cluster, start.alias("__start"), w).where((F.col("word") != "") & ~F.col("word").isin(STOPWORDS) & ~F.col("word").rlike(r"^\d+$"))
+    first = F.col("__start") + F.col("pos") if whole else F.struct("__start", "pos")
+    n = words.groupBy(cluster, "word").agg(F.count("*").alias("n"), F.min(first).alias("first"))
     top = n.withColumn("r", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("n"), "first"))).where(F.col("r") <= k)
     name = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x.word), "_")
     return top.groupBy(cluster).agg(F.concat(F.lit("Cluster_"), F.col(cluster).cast("string"), F.lit("_"), name).alias("name"))

@@ -40,7 +40,7 @@ def running_offsets(df: DataFrame, by: list[str], order: list[str], height: str)
     return df.withColumn("y1", F.sum(height).over(w)).withColumn("y0", F.col("y1") - F.col(height))
 
 
-#: Rows of a strip in a cell of the interval join.
+#: Rows of a strip in a cell of the interval join and of blended windows.
 CELL = 256
 
 
@@ -127,13 +127,16 @@ def safe_size(width: Column, height: Column, most_w: int, most_h: int) -> tuple[
 def blend_windows(runs: DataFrame, windows: DataFrame, by: str, overlap: int, mode: str = "mean") -> DataFrame:
     """Class of each row of a strip from overlapping windows. runs: by, win_no, r0, r1 (inclusive), class_id for a column
     or strip; windows: by, win_no, y0, y1, height. Weights fade linearly over inner edges. mean averages class ids, with
-    rounding half to even; vote takes the class with most weight, ties to the smaller."""
-    df = runs.join(windows, [by, "win_no"]).withColumn("y", F.explode(F.sequence("r0", "r1")))
+    rounding half to even; vote takes the class with most weight, ties to the smaller. Runs, cut at cells of ``CELL`` rows,
+    are what is shuffled, so rows are made where they are added up and a long strip is spread."""
+    df = runs.where("r0 <= r1").join(windows, [by, "win_no"]).withColumn("__cell", F.explode(F.sequence(F.floor(F.col("r0") / CELL), F.floor(F.col("r1") / CELL))))
+    cut = F.sequence(F.greatest(F.col("r0"), F.col("__cell") * CELL), F.least(F.col("r1"), F.col("__cell") * CELL + (CELL - 1)))
+    df = df.repartition(by, "__cell").withColumn("y", F.explode(cut))
     fade = F.least(F.lit(overlap), F.floor((F.col("y1") - F.col("y0")) / 2))
     up = F.when(F.col("y0") > 0, F.least((F.col("y") - F.col("y0") + 1) / fade, F.lit(1.0))).otherwise(1.0)
     down = F.when(F.col("y1") < F.col("height"), F.least((F.col("y1") - F.col("y")) / fade, F.lit(1.0))).otherwise(1.0)
     df = df.withColumn("w", F.when(fade > 0, F.least(up, down)).otherwise(1.0))
     if mode == "mean":
-        return df.groupBy(by, "y").agg(F.bround(F.round(F.sum(F.col("w") * F.col("class_id")) / F.sum("w"), 9), 0).cast("int").alias("class_id"))
-    votes = df.groupBy(by, "y", "class_id").agg(F.sum("w").alias("w"))
-    return votes.groupBy(by, "y").agg(F.min_by("class_id", F.struct(-F.col("w"), "class_id")).alias("class_id"))
+        return df.groupBy(by, "__cell", "y").agg(F.bround(F.round(F.sum(F.col("w") * F.col("class_id")) / F.sum("w"), 9), 0).cast("int").alias("class_id")).drop("__cell")
+    votes = df.groupBy(by, "__cell", "y", "class_id").agg(F.sum("w").alias("w"))
+    return votes.groupBy(by, "__cell", "y").agg(F.min_by("class_id", F.struct(-F.col("w"), "class_id")).alias("class_id")).drop("__cell")
