@@ -402,6 +402,51 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(df, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    import pyarrow as pa
+
+    # More labelled rows than the 3000 of a class that were read once: the last of the toxic ones by hash have a word of
+    # their own.
+    ids = spark.range(4800).where(~common.held_out(F.col("id"))).orderBy(F.xxhash64(F.lit(toxicity.SEED), "id"), "id")
+    last = {r.id for r in ids.collect()[3100:]}
+    rows = [(i, prose(12, i) + (" grolk" if i in last else " zork" if i < 4800 else "")) for i in range(7200)]
+    df = table(spark, [*rows, (9000, prose(12, 9000) + " grolk"), (9001, prose(12, 9001))])
+    lab = spark.createDataFrame([(i, 1, int(i < 4800)) for i in [*range(7200), 8000]], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 1500)
+    net = toxicity.train(df.repartition(1), lab)
+    word = toxicity.buckets(*kernels.text_bytes(pa.array(["grolk"])))[0][0]
+    assert len(last) > 300 and net.known[word]
+    got = {r.doc_id: r.predicted for r in toxicity.score(df.where("doc_id >= 9000"), net).collect()}
+    assert got == {9000: 1, 9001: 0}
+    again = toxicity.train(df.repartition(7), lab.repartition(3))
+    assert (again.matrix() == net.matrix()).all() and (again.platt, again.thresholds) == (net.platt, net.thresholds)
+
+
+def test_toxicity_calibration():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    z = np.round(rng.normal(0, 12, 400), 1)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.5 * z - 3)))).astype(int)
+    n = rng.integers(1, 9, 400)
+    cuts = [(a + b) / 2 for a, b in itertools.pairwise(sorted(set(z.tolist())))]
+    f1 = [2 * (n * y * (z > c)).sum() / ((n * y).sum() + (n * (z > c)).sum()) for c in cuts]
+    cut = toxicity.best_cut(z, y, n)
+    assert 2 * (n * y * (z > cut)).sum() / ((n * y).sum() + (n * (z > cut)).sum()) == pytest.approx(max(f1))
+    net = toxicity.Net()
+    net.calibrate(z, y, n)
+    a, b = net.platt
+    assert 0.3 < a < 0.8 and 1 / (1 + np.exp(-(a * cut + b))) == pytest.approx(toxicity.CUT)
+
+
+def test_toxicity_labels_without_documents(spark):
+    df = table(spark, [(i, prose(8, i)) for i in range(20)])
+    lab = spark.createDataFrame([(i, 1, int(i >= 20)) for i in range(40)], "doc_id long, quality int, toxic int")
+    share = sum(i >= 20 for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2) / sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(40))
+    assert {r.score for r in toxicity.score(df, toxicity.train(df, lab)).collect()} == {share}
+
+
 def test_leaks_of_null_ids(spark):
     bench = spark.createDataFrame([(0, prose(20, 22))], "item_id long, text string")
     docs = table(spark, [(None, prose(20, 22)), (None, prose(30, 23)), (None, None), (1, prose(20, 22)), (2, prose(30, 24))])
