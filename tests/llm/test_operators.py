@@ -148,6 +148,25 @@ def test_leaks(spark):
     assert decontaminate.leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_leaks_keep_plans_small(spark):
+    """The driver keeps a description of every plan: bit sets must not be spelled out in them."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    every = lambda: [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    last = max([e.executionId() for e in every()], default=-1)
+    bench = spark.createDataFrame([(0, prose(30, 71))], "item_id long, text string")
+    assert decontaminate.drop_leaks(table(spark, [(0, prose(30, 71)), (1, prose(30, 72))]), bench).count() == 1
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    sizes = [len(e.physicalPlanDescription()) for e in every() if e.executionId() > last]
+    assert sizes and max(sizes) < 50_000
+
+
+def test_long_array(spark):
+    values = [0, 1, -1, 2**63 - 1, -(2**63), 1 << 40]
+    df = spark.range(3).select(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.get(common.long_array(spark, values), i)).alias("x"))
+    assert [r.x for r in df.collect()] == [[*values, None]] * 3
+
+
 def test_leak_masks_meet_every_pattern():
     for n in range(1, decontaminate.SPAN + 1):
         for bad in itertools.combinations(range(n), n - math.ceil(n * decontaminate.SAME)):

@@ -20,10 +20,11 @@ the id and text columns are read, so other columns may have any names.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Scratch, let, long_array
 
 # The masks by the length of the stretch compared; 1 counts, 0 is ignored.
 MASKS = {
@@ -70,10 +71,10 @@ def _bits(keys: DataFrame, which: int, slots: int) -> Column:
     """An array literal of bits, 64 in an element, set at the slots of keys. The driver reads slots / 64 numbers at most,
     however large the benchmark."""
     slot = _slot(F.col("key"), which, slots)
-    cells = [0] * (slots // 64)
+    cells = np.zeros(slots // 64, np.int64)
     for cell, bits in keys.groupBy(F.shiftright(slot, 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63))))).collect():
         cells[cell] = bits
-    return F.expr("array(" + ",".join(f"{c}L" if c > -(1 << 63) else "bigint('-9223372036854775808')" for c in cells) + ")")
+    return long_array(keys.sparkSession, cells)
 
 
 def _has(bits: Column, slot: Column) -> Column:
