@@ -218,6 +218,12 @@ def test_surrogates_stay_distinct(spark, monkeypatch):
     assert got[9] == got[0] and len({v for k, v in got.items() if k != 9}) == 6
 
 
+def test_surrogate_names_each_large_part_once(spark):
+    """The driver analyses, prints and keeps as many copies of a part as the expression has."""
+    made = spark.createDataFrame([], "kind string, c string, n int").select(pii.surrogate(F.col("kind"), F.col("c"), F.col("n"), "key").alias("s"))
+    assert made._jdf.queryExecution().analyzed().toString().count(pii._BLOCKS) == 3
+
+
 def _skeleton(text):
     """Digits, letters by script and case, and all else as it is."""
     import unicodedata

@@ -149,17 +149,19 @@ def _surrogate(kind: Column, c: Column, tries: Column, key: str, digest: Column,
     # IPv4: four octets, the first and last from 1 to 254.
     ip = F.array_join(F.transform(F.slice(digest, 1, 4), lambda b, i: F.when(i % 3 == 0, b % 254 + 1).otherwise(b).cast("string")), ".")
     head = lambda m: F.substring(m, F.lit(1), F.length(c) - 1)
-    luhn = _bind(mapped, lambda m: F.when(_digit_sum(F.split(c, "")) % 10 == 0, F.concat(head(m), ((10 - _digit_sum(F.split(F.concat(head(m), F.lit("0")), "")) % 10) % 10).cast("string"))).otherwise(m))
+    luhn = lambda m: F.when(_digit_sum(F.split(c, "")) % 10 == 0, F.concat(head(m), ((10 - _digit_sum(F.split(F.concat(head(m), F.lit("0")), "")) % 10) % 10).cast("string"))).otherwise(m)
     turned = lambda s: F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 2))
     valid = _mod97(F.concat(turned(c), F.substring(c, 3, 2))) == 1
-    iban = _bind(mapped, lambda m: F.when(valid, F.concat(F.substring(m, 1, 2), F.lpad((98 - _mod97(F.concat(turned(m), F.lit("00")))).cast("string"), 2, "0"), F.substring(m, F.lit(5), F.length(c)))).otherwise(m))
+    iban = lambda m: F.when(valid, F.concat(F.substring(m, 1, 2), F.lpad((98 - _mod97(F.concat(turned(m), F.lit("00")))).cast("string"), 2, "0"), F.substring(m, F.lit(5), F.length(c)))).otherwise(m)
     person = F.array_join(F.transform(F.split(c, " "), lambda w: _bind(word(F.concat_ws("|", w, tries.cast("string"))), lambda d: _person(w, d))), " ")
-    body = F.when(kind == "ip", ip).when(kind == "card", luhn).when(kind == "iban", iban).when(kind == "name", person).otherwise(mapped)
+    # Each large part is named once: the driver analyses and keeps as many copies of it as the expression has.
+    body = _bind(F.when(kind.isin("ip", "name"), F.lit(None)).otherwise(mapped), lambda m: F.when(kind == "ip", ip).when(kind == "card", luhn(m)).when(kind == "iban", iban(m)).when(kind == "name", person).otherwise(m))
     # What a surrogate grows by when many are taken.
     more, last = tries - CALM + 1, F.substring(c, F.length(c), F.lit(1))
     seed = F.when(kind.isin("phone", "card", "ssn", "iban", "ip"), "0").when((kind == "name") & last.rlike(r"\p{L}"), last).otherwise("a")
     grown = F.array_join(F.transform(F.sequence(F.lit(1), more), lambda j: _swap(seed, byte(63 - j % 64 + j), no, no)), "")
-    return F.when(more <= 0, body).when(kind == "email", F.concat(grown, body)).otherwise(F.concat(body, F.when(kind == "ip", ":").otherwise(""), grown))
+    parts = F.struct(body.alias("b"), F.when(more > 0, grown).alias("g"))
+    return _bind(parts, lambda x: F.when(more <= 0, x.b).when(kind == "email", F.concat(x.g, x.b)).otherwise(F.concat(x.b, F.when(kind == "ip", ":").otherwise(""), x.g)))
 
 
 def _person(w: Column, digest: Column) -> Column:
